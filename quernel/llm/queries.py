@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import frequency, neardup
+from quernel.llm import frequency, handwritten, leakage, mixture, neardup, truncation
 from quernel.runtime import table
 
 
@@ -35,7 +35,57 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf).groups().withColumnRenamed("record", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p6_found": p6_found, "p6_groups": p6_groups}
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.find_not_handwritten(table(spark, sf, "corpus_file"), "doc_id", "root_id", "path", "content", "indexed_at")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _marked(spark, sf).where("kind is not null").select(F.col("key").alias("doc_id"))
+
+
+def p5_by_root(spark: SparkSession, sf: str) -> DataFrame:
+    """Files per root and kind; hand-written files have the kind ``handwritten``."""
+    return _marked(spark, sf).groupBy(F.col("root").cast("int").alias("root_id"), F.coalesce("kind", F.lit("handwritten")).alias("kind")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with passages of test items, and their text without them."""
+    return leakage.remove_leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def _mixture(spark: SparkSession, sf: str) -> mixture.Mixture:
+    return mixture.mix(table(spark, sf, "documents"), "doc_id", "source", "text", table(spark, sf, "mix_target"), "source", "target_share", "max_repeats")
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The drawn documents, one row per use, in global random order."""
+    return _mixture(spark, sf).draws().withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    return _mixture(spark, sf).report
+
+
+def _ends(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.detect_truncation(table(spark, sf, "documents"), "doc_id", "source", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _ends(spark, sf).where("is_truncated").select(F.col("key").alias("doc_id"))
+
+
+def p9_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_report(_ends(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p5_found, p5_by_root, p6_found, p6_groups, p7_found, p7_cleaned, p8_mixture, p8_shares, p9_found, p9_by_source)}
 
 SQL = {
     "p1_found": """
