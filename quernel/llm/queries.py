@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import frequency, handwritten, leakage, mixture, neardup, truncation
+from quernel.llm import encoding, frequency, handwritten, leakage, mixture, neardup, truncation
 from quernel.runtime import table
 
 
@@ -35,6 +35,17 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf).groups().withColumnRenamed("record", "doc_id")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = encoding.find_garbled(table(spark, sf, "search_hit"), "hit_id", "line")
+    return found.where("key is not null").select(F.col("key").alias("hit_id")).distinct()
+
+
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Garbled lines with the encodings they went through and their proper text."""
+    hits = table(spark, sf, "search_hit").select("hit_id", "line").distinct()
+    return encoding.find_garbled(hits, "hit_id", "line").withColumnRenamed("key", "hit_id")
+
+
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
     return handwritten.find_not_handwritten(table(spark, sf, "corpus_file"), "doc_id", "root_id", "path", "content", "indexed_at")
 
@@ -85,7 +96,7 @@ def p9_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_report(_ends(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p5_found, p5_by_root, p6_found, p6_groups, p7_found, p7_cleaned, p8_mixture, p8_shares, p9_found, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p2_restored, p5_found, p5_by_root, p6_found, p6_groups, p7_found, p7_cleaned, p8_mixture, p8_shares, p9_found, p9_by_source)}
 
 SQL = {
     "p1_found": """
