@@ -39,38 +39,60 @@ def unprocessed(source: DataFrame, target: DataFrame, key: str, version: str) ->
     return source.join(done, (source[key] == done["done_key"]) & source[version].eqNullSafe(done["done_version"]), "left_anti")
 
 
-class Target:
-    """A versioned table in a shared folder: ``v<number>-<run>/`` folders and commit markers.
+class Versions:
+    """Numbered versions of something below a folder, each committed in one step.
 
-    Each version holds the rows that its run added; the table is the union of the committed
-    versions. ``publish`` writes the data first and renames the version's marker into place last.
-    The marker is named by the version's number alone, so of two runs that race for a number one
-    finds it taken and raises ``FileExistsError`` (a rename never replaces a file on HDFS-like
-    stores; on a local disk, as in tests, the check before it stands in for that).
+    A version is a folder and a marker that names it. The marker is written aside and renamed into
+    place last. It is named by the number alone, so of two runs that race for a number one finds
+    it taken and raises ``FileExistsError`` (a rename never replaces a file on HDFS-like stores; on
+    a local disk, as in tests, the check before it stands in for that).
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._root = self._hadoop.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.root = self.hadoop.Path(self.path)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[tuple[int, str]]:
+    def list(self) -> list[tuple[int, str]]:
         """(number, folder) of each committed version, in order."""
-        if not self._fs.exists(self._root):
+        if not self.fs.exists(self.root):
             return []
         out = []
-        for s in self._fs.listStatus(self._root):
+        for s in self.fs.listStatus(self.root):
             name = s.getPath().getName()
             if name.endswith(f".{_MARK}"):
-                stream = self._fs.open(s.getPath())
+                stream = self.fs.open(s.getPath())
                 try:
-                    text = bytes(stream.readAllBytes()).decode()
+                    out.append((int(name.split(".")[0]), bytes(stream.readAllBytes()).decode()))
                 finally:
                     stream.close()
-                out.append((int(name.split(".")[0]), text))
         return sorted(out)
 
+    def commit(self, folder: str) -> int:
+        """Make a folder that is completely written the next version."""
+        found = self.list()
+        number = found[-1][0] + 1 if found else 1
+        part = self.hadoop.Path(self.root, f".{folder}.tmp")
+        stream = self.fs.create(part, True)
+        stream.write(bytearray(folder.encode()))
+        stream.close()
+        mark = self.hadoop.Path(self.root, f"{number:09d}.{_MARK}")
+        if self.fs.exists(mark) or not self.fs.rename(part, mark):
+            raise FileExistsError(f"version {number} was published by another run")
+        return number
+
+
+class Target:
+    """A versioned table: each version holds the rows that its run added; the table is their union."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.store = spark, Versions(spark, path)
+        self.path = self.store.path
+
+    def versions(self) -> list[tuple[int, str]]:
+        return self.store.list()
+
     def read(self) -> DataFrame | None:
         found = self.versions()
         return self.spark.read.parquet(*(f"{self.path}/{folder}" for _, folder in found)) if found else None
@@ -81,25 +103,20 @@ class Target:
         latest = found[-1][0] if found else 0
         if expected is not None and expected != latest:
             raise FileExistsError(f"version {latest} was published since version {expected} was read")
-        number, folder = latest + 1, f"v{latest + 1:09d}-{uuid.uuid4().hex}"
+        folder = f"v{latest + 1:09d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
-        part = self._hadoop.Path(self._root, f".{folder}.tmp")
-        stream = self._fs.create(part, True)
-        stream.write(bytearray(folder.encode()))
-        stream.close()
-        mark = self._hadoop.Path(self._root, f"{number:09d}.{_MARK}")
-        if self._fs.exists(mark) or not self._fs.rename(part, mark):
-            raise FileExistsError(f"version {number} was published by another run")
-        return number
+        if expected is not None and (now := self.versions()) and now[-1][0] != expected:
+            raise FileExistsError(f"version {now[-1][0]} was published while version {expected + 1} was written")
+        return self.store.commit(folder)
 
     def vacuum(self) -> int:
         """Delete the data of runs that never committed; returns how many."""
         keep = {folder for _, folder in self.versions()}
         gone = 0
-        for s in self._fs.listStatus(self._root) if self._fs.exists(self._root) else []:
+        for s in self.store.fs.listStatus(self.store.root) if self.store.fs.exists(self.store.root) else []:
             name = s.getPath().getName()
             if (name.startswith("v") and name not in keep) or name.endswith(".tmp"):
-                gone += bool(self._fs.delete(s.getPath(), True))
+                gone += bool(self.store.fs.delete(s.getPath(), True))
         return gone
 
 

@@ -90,3 +90,12 @@ def parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, shuffled evenly if its files give fewer partitions than there is parallelism.
+
+    For work that costs far more per row than moving the row; large inputs are left as they are.
+    """
+    n = parallelism(df.sparkSession)
+    return df.repartition(n) if is_plain_scan(df) and df.rdd.getNumPartitions() < n else df
