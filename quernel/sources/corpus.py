@@ -77,7 +77,7 @@ def from_directories(spark: SparkSession, roots: Iterable[str], config: IndexCon
     for order, root in enumerate(roots):
         local = root.removeprefix("file://").rstrip("/") or "/"
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        whole = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/")
+        whole = F.regexp_replace("path", "^file:/+", "/")
         base = os.path.dirname(local) if os.path.isfile(local) else local
         relative = F.substring(whole, F.lit(len(base.rstrip("/")) + 2), F.length(whole)) if os.path.exists(local) else F.regexp_replace(F.col("path"), "^.*?" + _quoted(local) + "/*", "")
         one = found.select(F.lit(order).alias("n"), F.lit(root).alias("root"), relative.alias("path"), F.col("length").alias("size"), "content")
