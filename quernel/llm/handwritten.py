@@ -62,6 +62,7 @@ _PACKAGE = re.compile(
     re.I,
 )
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|0x[0-9a-fA-F]+|-?\b\d+(?:\.\d+)?\b|[\[\]{}(),:;\s]')
+_BLOB = re.compile(r"""["'](?:data:[\w/+.;=-]+,)?[A-Za-z0-9+/=_\\-]*["']""")
 _MARKS = ("//", "/*", "*", "#", "--", ";", "%", "<!--", '"""', "'''")
 #: What a template leaves of a line: its punctuation and blanks.
 _TEMPLATE = {c: None for c in range(128) if chr(c).isalnum() or chr(c) == "_"}
@@ -80,8 +81,11 @@ def _comments(lines: list[str]) -> list[str]:
 
 
 def _literal(text: str) -> float:
-    """Share of a text that is literals and the punctuation between them."""
-    return sum(map(len, _LITERAL.findall(text))) / max(1, len(text))
+    """Share of a text that is literals and the punctuation between them.
+
+    A long string counts only if it is encoded bytes; a long pattern or message is one value.
+    """
+    return sum(len(m) for m in _LITERAL.findall(text) if len(m) < 200 or _BLOB.fullmatch(m)) / max(1, len(text))
 
 
 def _decode(content: bytes | None) -> str:

@@ -47,6 +47,8 @@ class Automaton:
     """A generalised suffix automaton over word sequences, with the items of each match."""
 
     def __init__(self, items: list[tuple[int, str]], least: int = MIN_WORDS):
+        if least < 2:
+            raise ValueError("a passage has two words at least")
         self.least = least
         self.vocabulary: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]

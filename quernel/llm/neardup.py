@@ -127,9 +127,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digest(e: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums of element hashes: equal for equal sets and additive over pieces."""
+    """128 bits: two sums without carry of element hashes, equal for equal sets and additive over pieces."""
     a, b = mix64(e.astype(np.uint64)), mix64(e.astype(np.uint64) ^ _GOLD)
-    return int(a.sum(dtype=np.uint64).astype(np.int64)), int(b.sum(dtype=np.uint64).astype(np.int64))
+    return int(np.bitwise_xor.reduce(a).astype(np.int64)), int(np.bitwise_xor.reduce(b).astype(np.int64))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def near_duplicates(df: DataFrame, record: str, element: str, threshold: float =
     columns are not read.
     """
     sets = stored(record_sets(df, record, element), "sets")
-    whole = sets.groupBy("record").agg(F.sum("size").alias("size"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"), F.max("pieces").alias("pieces")).where(F.col("size") >= least)
+    whole = sets.groupBy("record").agg(F.sum("size").alias("size"), F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.max("pieces").alias("pieces")).where(F.col("size") >= least)
     classes = whole.groupBy("size", "d1", "d2").agg(F.min("record").alias("class_id"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"))
     classes = stored(classes, "classes")
     members = stored(whole.join(classes.select("size", "d1", "d2", "class_id"), ["size", "d1", "d2"]).select("record", "class_id", "size"), "members")
