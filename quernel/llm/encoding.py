@@ -27,9 +27,11 @@ SAMPLE_LINES = 20_000
 SAMPLE_WORDS = 3_000
 BUCKETS = 1 << 12
 #: Log odds that a stretch of words must exceed.
-LEAST_ODDS = 9.0
+LEAST_ODDS = 7.0
 #: Pieces looked for in one line.
 MAX_PIECES = 8
+#: Share of a language's words that an encoding must be able to hold.
+WRITABLE = 0.5
 #: A word that a chain makes of one so many times more frequent is taken for garbled in training.
 RARER = 4
 LOST = "lost"
@@ -162,6 +164,7 @@ class Classifier:
         self.classes: list[tuple[tuple[str, ...], int]] = []
         made_by: list[tuple[np.ndarray, np.ndarray]] = []
         known_as: set[tuple[int, int]] = set()
+        spoken = np.bincount(language, weights=weight, minlength=len(PHRASES))
         for chain in CHAINS:
             made: dict[int, list[tuple[int, str]]] = {}
             for i, g in chained[chain]:
@@ -169,6 +172,8 @@ class Classifier:
                     made.setdefault(int(language[i]), []).append((i, g))
             for k, pairs in made.items():
                 same = (k, hash(tuple(pairs)))
+                if weight[[i for i, _ in pairs]].sum() < WRITABLE * spoken[k]:
+                    continue  # nobody writes a language in an encoding that can't hold most of its words
                 if len(pairs) >= 3 and same not in known_as:  # chains that make the same of a language are one class
                     known_as.add(same)
                     parts = [_bigrams(g) for _, g in pairs]

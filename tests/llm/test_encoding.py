@@ -6,7 +6,7 @@ from quernel.llm import encoding as E
 
 CLEAN = [
     "// Größe der Öffnung später prüfen", 'raise ValueError("clé déjà reçue à côté de la forêt")', "# значение ключ ошибка загрузка", "print('żółć źródło błąd później')", "/* příliš žlutý kůň */", "σφάλμα αρχείο κλειδί", "错误 检查 返回 大小",
-    "検索する 結果が 更新", "NÃO SÃO AÇÃO opção", "│   └── Übergabe", "░▒▓ costs", "≤ ∑ α·β", "user’s ±3° “copy” – €5 — naïve café", "ÞAÐ ógilt stærð rétt", "şifre değer çıkış", "în această țară", "plain ascii",
+    "検索する 結果が 更新", "NÃO SÃO AÇÃO opção", "│   └── Übergabe", "░▒▓ costs", "≤ ∑ α·β", "user’s ±3° “copy” – €5 — naïve café", "ÞAÐ ógilt stærð rétt", "şifre değer çıkış", "în această țară", "después código código señal número código", "forêt à à données", "plain ascii",
 ]
 
 
