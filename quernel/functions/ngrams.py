@@ -7,6 +7,7 @@ at nothing outside the slice, so the n-grams of a literal are n-grams of every t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from quernel.functions.weights import pair_weights
 MAX_LENGTH = 16
 #: Reflected polynomial of the usual 32-bit cyclic redundancy check.
 _POLYNOMIAL = 0xEDB88320
+#: Document ids whose lists are built in one task: 4 million, so that no task holds a frequent
+#: n-gram's whole list.
+SPAN_BITS = 22
 #: Bytes that are tokenised together.
 BATCH_BYTES = 1 << 21
 
@@ -109,41 +113,99 @@ def _slices(contents: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
+def _entries(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash) of all n-grams of some texts."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    stop = np.cumsum(size)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), size)
+    start, _, code = hashes(data, stop[owner], longest)
+    text = owner[start]
+    for k in np.flatnonzero(size == 2) if longest >= 2 else ():  # two bytes are their only n-gram
+        start, text = np.r_[start, stop[k] - 2], np.r_[text, k]
+        code = np.r_[code, np.uint32(zlib.crc32(texts[k]))]
+    return text, start - (stop - size)[text], code
+
+
+def _distinct(text: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The distinct (text, hash) pairs as sorted 64-bit keys."""
+    return np.unique(text.astype(np.uint64) << np.uint64(32) | code)
+
+
 def tokenise(distinct: bool, longest: int = MAX_LENGTH):
     """Arrow operator from (doc_id, content) to (ngram_hash, doc_id[, pos]).
 
-    With ``distinct`` each hash comes once per text, which is what an index needs; the rows that
-    then reach the shuffle are less than half.
+    With ``distinct`` each hash comes once per text, which is what an index needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in _slices(b.column("content").to_pylist()):
-                size = np.fromiter(map(len, texts), np.int64, len(texts))
-                stop = np.cumsum(size)
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                owner = np.repeat(np.arange(len(texts)), size)
-                start, _, code = hashes(data, stop[owner], longest)
-                text = owner[start]
-                for k in np.flatnonzero(size == 2) if longest >= 2 else ():
-                    at = int(stop[k] - 2)
-                    _, _, c = _pair(data[at : at + 2])
-                    start, text, code = np.r_[start, at], np.r_[text, k], np.r_[code, c]
+                text, pos, code = _entries(texts, longest)
                 if distinct:
-                    order = np.lexsort((code, text))
-                    text, code = text[order], code[order]
-                    keep = np.ones(len(code), bool)
-                    keep[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(code[keep].astype(np.int64)), pa.array(ids[first + text[keep]])], names=["ngram_hash", "doc_id"])
+                    key = _distinct(text, code)
+                    text, code = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+                    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(ids[first + text])], names=["ngram_hash", "doc_id"])
                 else:
-                    pos = start - (stop - size)[text]
                     yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(ids[first + text]), pa.array(pos.astype(np.int32))], names=["ngram_hash", "doc_id", "pos"])
 
     return run
 
 
-def _pair(data: np.ndarray) -> tuple[int, int, np.uint32]:
-    import zlib
+def tokenise_packed(bits: int, longest: int = MAX_LENGTH):
+    """Arrow operator from (doc_id, content) to (bucket, span, data): the distinct pairs of a slice of
+    texts, packed by the first ``bits`` bits of the hash and by span of document ids.
+
+    A slice makes a few hundred rows instead of a million, which spares the shuffle its work per row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            for first, texts in _slices(b.column("content").to_pylist()):
+                text, _, code = _entries(texts, longest)
+                key = _distinct(text, code)
+                doc = ids[first + (key >> np.uint64(32)).astype(np.int64)]
+                code = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                bucket, span = (code >> np.uint32(32 - bits)).astype(np.int64), doc >> SPAN_BITS
+                order = np.lexsort((bucket, span)) if len(span) and span.min() != span.max() else np.argsort(bucket, kind="stable")
+                code, doc, bucket, span = code[order], doc[order], bucket[order], span[order]
+                head = np.flatnonzero(np.r_[len(code) > 0, (bucket[1:] != bucket[:-1]) | (span[1:] != span[:-1])])
+                edges = [*head.tolist(), len(code)]
+                data = [code[x:y].astype("<u4").tobytes() + doc[x:y].astype("<i8").tobytes() for x, y in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(span[head]), pa.array(data, pa.binary())], names=["bucket", "span", "data"])
+
+    return run
+
+
+def unpack_lists(chunk_bits: int):
+    """Arrow operator from rows (bucket, span, data), sorted by (bucket, span), to posting lists."""
 
-    return 0, 2, np.uint32(zlib.crc32(data.tobytes()))
+    def lists(parts: list[bytes]) -> pa.RecordBatch:
+        n = [len(p) // 12 for p in parts]
+        code = np.concatenate([np.frombuffer(p, "<u4", k) for p, k in zip(parts, n)])
+        doc = np.concatenate([np.frombuffer(p, "<i8", k, 4 * k) for p, k in zip(parts, n)])
+        order = np.lexsort((doc, code))
+        code, doc = code[order], doc[order]
+        keep = np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]
+        code, doc = code[keep], doc[keep]
+        chunk = doc >> chunk_bits
+        head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])])
+        edges = np.r_[head, len(code)]
+        ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(doc))
+        return pa.RecordBatch.from_arrays([pa.array(code[head].astype(np.int64)), pa.array(chunk[head]), pa.array(np.diff(edges).astype(np.int32)), ids], names=["ngram_hash", "chunk", "n_docs", "doc_ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for bucket, span, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "span", "data"))):
+                if held and at != (bucket, span):
+                    yield lists(held)
+                    held = []
+                at = (bucket, span)
+                held.append(data)
+        if held:
+            yield lists(held)
+
+    return run

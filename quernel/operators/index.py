@@ -9,13 +9,18 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.ngrams import tokenise
+from quernel.functions.ngrams import tokenise, tokenise_packed, unpack_lists
 from quernel.operators import postings as P
 from quernel.operators.incremental import Versions
-from quernel.runtime import spread
+from quernel.runtime import estimated_bytes, parallelism, spread, stored
 from quernel.sources.corpus import IndexConfig
 
 FORMAT = 1
+#: Bytes of text whose n-grams make one bucket of hashes; one task builds a bucket's lists.
+BUCKET_BYTES = 8 << 20
+_POSTINGS = "ngram_hash long, chunk long, n_docs int, doc_ids array<long>"
+#: Sorted hashes and ids are stored as differences.
+_DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
 def index_entries(corpus: DataFrame, config: IndexConfig = IndexConfig(), distinct: bool = True) -> DataFrame:
@@ -54,17 +59,29 @@ class Index:
         """Write the index as the next version below ``path``; readers see it whole or not at all."""
         spark = self.postings.sparkSession
         folder = f"index-{uuid.uuid4().hex}"
-        self.postings.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash", "chunk").write.parquet(f"{path}/{folder}/postings")
-        self.terms.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash").write.parquet(f"{path}/{folder}/terms")
+        self.postings.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash", "chunk").write.options(**_DELTAS).parquet(f"{path}/{folder}/postings")
+        self.terms.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash").write.options(**_DELTAS).parquet(f"{path}/{folder}/terms")
         self.docs.write.parquet(f"{path}/{folder}/docs")
         meta = {"format": FORMAT, "commit": (commit or self.commit or "").strip() or None, "config": asdict(self.config)}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/{folder}/meta")
         return Versions(spark, path).commit(folder)
 
 
+def index_postings(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
+    """(ngram_hash, chunk, n_docs, doc_ids): what ``pack`` makes of the entries, without a row for each."""
+    n = max(4 * parallelism(corpus.sparkSession), estimated_bytes(corpus) // BUCKET_BYTES)
+    bits = min(16, max(1, int(n - 1).bit_length()))
+    rows = spread(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "content"))
+    packed = rows.mapInArrow(tokenise_packed(bits, config.max_ngram_length), "bucket long, span long, data binary")
+    return packed.repartition(max(parallelism(corpus.sparkSession), (1 << bits) // 4), "bucket", "span").sortWithinPartitions("bucket", "span").mapInArrow(unpack_lists(P.CHUNK.bit_length() - 1), _POSTINGS)
+
+
 def build(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> Index:
-    """The index of a corpus (doc_id, root, path, content). Repeated rows of a document count once."""
-    packed = P.pack(index_entries(corpus, config))
+    """The index of a corpus (doc_id, root, path, content). Repeated rows of a document count once.
+
+    The postings are computed once, into the shared folder.
+    """
+    packed = stored(index_postings(corpus, config), "postings")
     docs = corpus.select("doc_id", "root", "path").distinct()
     return Index(config, packed, docs, P.document_frequency(packed))
 

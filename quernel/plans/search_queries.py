@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import codec
-from quernel.functions.trigrams import may_follow, trigram_masks, trigrams
+from quernel.functions.trigrams import may_follow, trigram_entries, trigram_masks, trigrams
 from quernel.functions.weights import RANKS
 from quernel.operators import overlay, postings
 from quernel.operators.index import Index, build, index_entries, open_index
@@ -126,10 +126,18 @@ def candidates_missed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+_GRAM = "lpad(hex(trigram), 6, '0')"
+
+
 def trigram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    grams = documents(spark, sf).select("doc_id", F.explode(trigrams(F.col("content"))).alias("t"))
-    per_doc = grams.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy(F.hex("t").alias("trigram")).agg(F.sum("n").alias("n_occurrences"), F.count(F.lit(1)).alias("n_docs"))
+    grams = trigram_entries(documents(spark, sf), "doc_id", "content")
+    return grams.groupBy("trigram").agg(F.sum("n").alias("n_occurrences"), F.count(F.lit(1)).alias("n_docs")).withColumn("trigram", F.expr(_GRAM))
+
+
+def trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window in order, as a native array: its length and ends per test item."""
+    t = _items(spark, sf).select(F.col("doc_id").alias("item_id"), trigrams(F.col("content")).alias("t"))
+    return t.select("item_id", F.size("t").cast("long").alias("n"), F.hex(F.element_at("t", 1)).alias("first"), F.hex(F.element_at("t", -1)).alias("last"))
 
 
 def trigram_loc_mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,9 +160,8 @@ def trigram_adjacency(spark: SparkSession, sf: str) -> DataFrame:
 
 def trigram_postings(spark: SparkSession, sf: str) -> DataFrame:
     """The inverted index by trigram: each one's documents."""
-    grams = documents(spark, sf).select("doc_id", F.explode(F.array_distinct(trigrams(F.col("content")))).alias("t"))
-    packed = postings.pack(grams.select(F.hex("t").alias("ngram_hash"), "doc_id"))
-    return packed.select(F.col("ngram_hash").alias("trigram"), F.col("chunk").cast("long").alias("chunk"), F.col("n_docs").cast("long").alias("n_docs"), F.array_join("doc_ids", ",").alias("doc_ids"))
+    packed = postings.pack(trigram_entries(documents(spark, sf), "doc_id", "content"), "trigram")
+    return packed.select(F.expr(_GRAM).alias("trigram"), F.col("chunk").cast("long").alias("chunk"), F.col("n_docs").cast("long").alias("n_docs"), F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +304,7 @@ QUERIES |= {
 QUERIES |= {
     f.__name__: f
     for f in (
-        search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_loc_mask, trigram_next_mask, trigram_adjacency, trigram_postings,
+        search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_windows, trigram_loc_mask, trigram_next_mask, trigram_adjacency, trigram_postings,
         posting_df, posting_intersect, posting_union, posting_subtract, posting_intersect_many, posting_union_many, posting_delta_encode, posting_delta_decode,
         ngram_sparse, ngram_documents, index_stats, index_lookup, overlay_detect, overlay_search, overlay_refresh, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
     )
@@ -345,6 +352,7 @@ SQL |= {
     "search_formatted": _sql_lines(_re("graphite"), "path || ':' || line_number || ':' || line as result"),
     "candidates_missed": "select unnest(['the.*ing (s|c)', 'piezoelectric', '[Cc]laims? [2-4]', 'graphite|borosilicate', 'of']) as pattern, 0::bigint as n_missed",
     "trigram_counts": f"with {_GRAMS} select trigram, count(*) as n_occurrences, count(distinct doc_id) as n_docs from g group by 1",
+    "trigram_windows": "with b as (select item_id, hex(encode(text)) as h, octet_length(encode(text)) as n from eval_item where text is not null) select item_id, greatest(n - 2, 0)::bigint as n, case when n >= 3 then substr(h, 1, 6) end as first, case when n >= 3 then substr(h, 2 * n - 5, 6) end as last from b",
     "trigram_loc_mask": f"with {_MASKS} select doc_id, count(*) as n_trigrams, sum(loc)::bigint as sum_loc from m group by 1",
     "trigram_adjacency": f"with {_MASKS} select a.doc_id, count(*) as n_pairs, sum((((((a.loc << 1) | (a.loc >> 7)) & 255) & b.loc) <> 0)::bigint)::bigint as n_adjacent from m a join m b on a.doc_id = b.doc_id and substr(a.trigram, 3, 4) = substr(b.trigram, 1, 4) group by 1",
     "trigram_postings": f"with {_GRAMS}, k as (select distinct trigram, doc_id from g) select trigram, doc_id // 65536 as chunk, count(*) as n_docs, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from k group by 1, 2",

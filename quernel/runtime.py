@@ -99,3 +99,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = parallelism(df.sparkSession)
     return df.repartition(n) if is_plain_scan(df) and df.rdd.getNumPartitions() < n else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the frame's size; 0 where it has none."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 60 else 0
