@@ -30,8 +30,8 @@ RANGE = 1 << 14
 #: more terms the ranges get wider.
 MAX_RANGES = 1 << 18
 #: Rows that make one piece at most, on average over the salts of its range.
-PIECE_ROWS = 4_000_000
-#: A dictionary of up to so many terms is broadcast (about 16 MB for integers); beyond it the
+PIECE_ROWS = 1_000_000
+#: A dictionary of up to so many terms is broadcast (75 MB at most for integers); beyond it the
 #: rows are joined with it by a shuffle, where adaptive execution splits the hot terms.
 BROADCAST_TERMS = 1_000_000
 BUFFER_ROWS = 1 << 20
@@ -210,7 +210,7 @@ def term_frequencies(df: DataFrame, term: str, record: str, position: str | None
     for b in per_block:
         salts[b["block"]] = max(1, -(-b["n"] // piece_rows))
     pieces = rows.select("id", "record", "position").mapInArrow(_pack(width, salts), "block long, salt int, data binary")
-    n = max(parallelism(spark), int(salts.sum()) // 4)
+    n = max(parallelism(spark), int(salts.sum()))
     counted = pieces.repartition(n, "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(_count(width), _ARRAYS)
     sums = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_sum, _ARRAYS)
     flat = sums.select("block", F.posexplode(F.arrays_zip("occurrences", "records")).alias("low", "n")).select((F.col("block") * width + F.col("low")).alias("id"), "n.occurrences", "n.records")
