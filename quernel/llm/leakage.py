@@ -23,6 +23,8 @@ from quernel.llm.chars import END, Hasher, code_points, groups, word_table
 #: Words of test items that make one automaton; larger sets are matched block by block.
 BLOCK_WORDS = 400_000
 MIN_WORDS = 12
+#: Automata that a worker keeps.
+MAX_BUILT = 4
 #: Training texts are gated together up to this many characters.
 BATCH_CHARS = 1 << 20
 #: Size of the table of word pairs: with a full block of items a tenth of it is set.
@@ -162,7 +164,8 @@ def automaton(items: list[tuple[int, str]], least: int) -> Automaton:
     """Builds an automaton, or takes the one this worker already has."""
     key = hashlib.blake2b(repr((items, least)).encode(), digest_size=16).hexdigest()
     if key not in _built:
-        _built.clear()
+        if len(_built) >= MAX_BUILT:
+            _built.clear()
         _built[key] = Automaton(items, least)
     return _built[key]
 
@@ -195,24 +198,24 @@ def _find(items: list[tuple[int, str]], least: int):
     return run
 
 
-def _clean(items: list[tuple[int, str]], least: int, max_span: int, max_coverage: float):
+def _clean(blocks: list[list[tuple[int, str]]], least: int, max_span: int, max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(items, least)
         for b in batches:
             doc = b.column("doc").to_pylist()
             for start, texts in groups(b.column("text").to_pylist(), BATCH_CHARS):
                 marks: dict[int, list[tuple[int, int, int]]] = {}
-                for k, at, end, n, _ in _matches(a, texts):
-                    marks.setdefault(k, []).append((at, end - n + 1, end + 1))
+                for items in blocks:
+                    for k, at, end, n, _ in _matches(automaton(items, least), texts):
+                        marks.setdefault(k, []).append((at, end - n + 1, end + 1))
                 rows = []
                 for k, found in marks.items():
                     at = [m.span() for m in _WORD.finditer(texts[k])]
                     first = {x: i for i, (x, _) in enumerate(at)}  # a stretch starts with a word
                     spans: list[tuple[int, int]] = []
-                    for where, x, y in found:
-                        x, y = first[where] + x, first[where] + y
+                    for x, y in sorted((first[where] + x, first[where] + y) for where, x, y in found):
                         while spans and spans[-1][1] >= x:
-                            x = min(x, spans.pop()[0])
+                            was = spans.pop()
+                            x, y = min(x, was[0]), max(y, was[1])
                         spans.append((x, y))
                     share = sum(y - x for x, y in spans) / max(1, len(at))
                     longest = max(y - x for x, y in spans)
@@ -268,13 +271,10 @@ def remove_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
 
     ``text`` is the document without the matched spans. ``dropped`` says that a span has more than
     ``max_span`` words or the spans more than ``max_coverage`` of all words, so that the rest
-    should not be kept either. Documents without a passage are absent. With several blocks of
-    items, the blocks clean the text one after the other.
+    should not be kept either. Documents without a passage are absent. Spans of all blocks of items
+    are merged before they are removed.
     """
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, n_spans long, longest long, coverage double, dropped boolean, text string"
     blocks = list(item_blocks(items, item, item_text, block_words))
-    if len(blocks) == 1:
-        return rows.mapInArrow(_clean(blocks[0], least, max_span, max_coverage), schema)
-    raise ValueError("remove_leaks takes test sets of one block; clean with one block after the other")
+    return rows.mapInArrow(_clean(blocks, least, max_span, max_coverage), f"doc {kind}, n_spans long, longest long, coverage double, dropped boolean, text string")

@@ -75,11 +75,12 @@ def test_very_long_text(table):
     assert [(r["item"], r["n_words"]) for r in L.find_leaks(df, "doc", "text", it, "item", "text").collect()] == [(1, 15)]
 
 
-def test_removal(table):
+@pytest.mark.parametrize("block", [L.BLOCK_WORDS, 20])
+def test_removal(table, block):
     words = [f"y{k}" for k in range(30)]
-    it = table([(1, " ".join(words))], "item long, text string")
+    it = table([(1, " ".join(words)), (2, " ".join(words[:14])), (3, " ".join(words[10:25]))], "item long, text string")
     df = table([("a", "Start. " + " ".join(words) + " End."), ("b", "x " * 100 + "-".join(words[3:18]) + " y " * 50), ("c", "clean")], "doc string, text string")
-    got = {r["doc"]: r for r in L.remove_leaks(df, "doc", "text", it, "item", "text").collect()}
+    got = {r["doc"]: r for r in L.remove_leaks(df, "doc", "text", it, "item", "text", block_words=block).collect()}
     assert got["a"]["text"] == "Start.  End." and got["a"]["dropped"] and got["a"]["longest"] == 30
     assert got["b"]["text"] == "x " * 100 + " y " * 50 and not got["b"]["dropped"] and set(got) == {"a", "b"}
 
