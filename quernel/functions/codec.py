@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernel.operators.postings import CHUNK, pack
+
 
 def encode_varint(value: int) -> bytes:
     if not 0 <= value < 1 << 32:
@@ -55,12 +57,25 @@ def decode_postings(data: bytes) -> list[int]:
 
 
 def delta_encode(postings: DataFrame, key: str = "ngram_hash", doc: str = "doc_id") -> DataFrame:
-    """(key, doc, delta): each id's difference to the one before in its list."""
-    w = W.partitionBy(key).orderBy(doc)
-    return postings.select(key, doc).distinct().withColumn("delta", F.col(doc) - F.lag(doc, 1, 0).over(w))
+    """(key, doc, delta): each id's difference to the one before in its list.
+
+    A list is cut into aligned ranges of ids; differences are taken within a range, and a range's
+    first id is compared with the last of the range before it. No task holds a whole list.
+    """
+    lists = pack(postings, key, doc)
+    before = F.lag(F.element_at("doc_ids", -1), 1, 0).over(W.partitionBy(key).orderBy("chunk"))  # a row per range
+    ids = lists.select(key, "doc_ids", F.concat(F.array(before), F.slice("doc_ids", F.lit(1), F.size("doc_ids") - 1)).alias("previous"))
+    pairs = ids.select(key, F.explode(F.arrays_zip("doc_ids", "previous")).alias("x"))
+    return pairs.select(key, F.col("x.doc_ids").alias(doc), (F.col("x.doc_ids") - F.col("x.previous")).alias("delta"))
 
 
 def delta_decode(deltas: DataFrame, key: str = "ngram_hash", order: str = "rank") -> DataFrame:
-    """(key, order, doc_id) from rows (key, order, delta): the running sum."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return deltas.select(key, order, F.sum("delta").over(w).alias("doc_id"))
+    """(key, order, doc_id) from rows (key, order, delta) with an integer order: the running sum.
+
+    Sums run within aligned ranges of the order; each range starts from the total of those before it.
+    """
+    rows = deltas.select(key, order, "delta", F.floor(F.col(order) / CHUNK).alias("part"))
+    by_part = W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "part").agg(F.sum("delta").alias("total")).select(key, "part", F.coalesce(F.sum("total").over(by_part), F.lit(0)).alias("start"))
+    within = W.partitionBy(key, "part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(starts, [key, "part"]).select(key, order, (F.col("start") + F.sum("delta").over(within)).alias("doc_id"))

@@ -13,8 +13,8 @@ from quernel.functions.trigrams import may_follow, trigram_entries, trigram_mask
 from quernel.functions.weights import RANKS
 from quernel.operators import overlay, postings
 from quernel.operators.index import Index, build, index_entries, open_index
-from quernel.operators.search import Searcher, formatted
-from quernel.runtime import scratch_path, stored, table
+from quernel.operators.search import Searcher, formatted, ordered
+from quernel.runtime import numbered, scratch_path, stored, table
 from quernel.sources import corpus as C
 from quernel.streaming.delta_index import index_stream, indexed_entries
 
@@ -103,13 +103,9 @@ def search_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    """Files with a match in path order: each with the number of files before it in its folder."""
-    hits = searcher(spark, sf).files("graphite")
-    from pyspark.sql import Window as W
-
-    parts = C.path_order(F.col("path"))
-    folder = F.array_join(F.slice(parts, 1, 2), "/")
-    return hits.select("path", F.row_number().over(W.partitionBy(folder).orderBy(parts)).cast("long").alias("place"))
+    """Files with a match, each with its place in path order."""
+    hits = ordered(searcher(spark, sf).files("graphite"))
+    return numbered(hits, "place", "ordered").select("path", (F.col("place") + 1).alias("place"))
 
 
 def search_formatted(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,7 +344,7 @@ SQL |= {
     "file_filter_files": _sql_lines(_re("graphite") + " and regexp_matches(path, 'archive/(de|fr)/')", "distinct doc_id, path"),
     "search_full_scan": _sql_lines(_re("the.*ing (s|c)")),
     "search_exists": f"with {_DOCS} select 'graphite' as pattern, coalesce(bool_or({_re('graphite')}), false) as found from l union all select 'nonexistent_string_xyz_123', coalesce(bool_or({_re('nonexistent_string_xyz_123')}), false) from l",
-    "search_sorted": f"with {_DOCS}, f as (select distinct path, string_split(path, '/') as p from l where {_re('graphite')}) select path, row_number() over (partition by p[1], p[2] order by p) as place from f",
+    "search_sorted": f"with {_DOCS}, f as (select distinct path, string_split(path, '/') as p from l where {_re('graphite')}) select path, row_number() over (order by p) as place from f",
     "search_formatted": _sql_lines(_re("graphite"), "path || ':' || line_number || ':' || line as result"),
     "candidates_missed": "select unnest(['the.*ing (s|c)', 'piezoelectric', '[Cc]laims? [2-4]', 'graphite|borosilicate', 'of']) as pattern, 0::bigint as n_missed",
     "trigram_counts": f"with {_GRAMS} select trigram, count(*) as n_occurrences, count(distinct doc_id) as n_docs from g group by 1",

@@ -9,6 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -105,3 +107,16 @@ def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the frame's size; 0 where it has none."""
     n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return n if n < 1 << 60 else 0
+
+
+def numbered(ordered: DataFrame, to: str, name: str) -> DataFrame:
+    """``ordered``, a frame sorted as a whole, with dense numbers from 0 in the column ``to``.
+
+    Sorted partitions number their rows; only the partitions' sizes are summed in one place.
+    """
+    rows = stored(ordered.withColumn("number_in_part", F.monotonically_increasing_id()), name)
+    part, within = F.shiftright("number_in_part", 33), F.col("number_in_part").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("part_no")).agg(F.count(F.lit(1)).alias("part_size"))
+    before = sizes.select("part_no", (F.sum("part_size").over(W.orderBy("part_no")) - F.col("part_size")).alias("rows_before"))
+    dense = rows.withColumn("part_no", part).join(F.broadcast(before), "part_no")  # a row per partition
+    return dense.withColumn(to, F.col("rows_before") + within).drop("number_in_part", "part_no", "part_size", "rows_before")

@@ -7,10 +7,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernel.runtime import stored
+from quernel.runtime import numbered
 from quernel.sources.ignore import IgnoreRules
 
 #: A file is binary if one of so many first bytes is 0.
@@ -94,11 +93,7 @@ def from_directories(spark: SparkSession, roots: Iterable[str], config: IndexCon
     if parts is None:
         raise ValueError("no root")
     # dense ids by a sort of the paths alone; contents are joined to them afterwards
-    numbered = stored(parts.select("n", "path").orderBy("n", path_order(F.col("path"))).select("n", "path", F.monotonically_increasing_id().alias("k")), "paths")
-    part, within = F.shiftright("k", 33), F.col("k").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before"))  # a row per partition
-    dense = numbered.withColumn("part", part).join(F.broadcast(before), "part").select("n", "path", (F.col("before") + within).alias("doc_id"))
+    dense = numbered(parts.select("n", "path").orderBy("n", path_order(F.col("path"))), "doc_id", "paths")
     return parts.join(dense, ["n", "path"]).select("doc_id", "root", "path", "content")
 
 
