@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quernel.operators.index import Index
 from quernel.plans.java import to_java
 from quernel.plans.query import NONE, Op, Query, bound, condition, plan, prune
-from quernel.sources.corpus import lines, path_order, to_text
+from quernel.runtime import spread
+from quernel.sources.corpus import LINE_END, lines, path_order, to_text
 
 #: With more than this share of documents as candidates a plain scan is faster than the semi-join.
-SCAN_SHARE = 0.6
+SCAN_SHARE = 0.3
 #: Hashes of one conjunction that are looked up at most; the rarest are taken.
 KEEP = 8
 
@@ -61,31 +62,37 @@ class Searcher:
         if path_filter is not None:  # below the verification and, as a filter of one side, below the join
             docs = docs.where(F.col("path").rlike(to_java(path_filter)))
         if self.index is None or use_index is False:
-            return docs
+            return spread(docs)
         q = plan(pattern, ignore_case, self.index.config.max_ngram_length) if use_index else self.plan(pattern, ignore_case)
         if q.op is Op.ALL:
-            return docs
+            return spread(docs)
         return docs.join(self.evaluate(q), "doc_id", "left_semi") if q.leaves() else docs.where("false")
 
+    def _lines(self, java: str) -> Column:
+        """A document's lines; what comes after a final line end is dropped only for patterns that an
+        empty line matches, as no other finds anything there, and the plain split is made once."""
+        text = to_text(F.col("content"))
+        blank = self.corpus.sparkSession._jvm.java.util.regex.Pattern.compile(java).matcher("").find()
+        return lines(text) if blank else F.split(text, LINE_END, -1)
+
     def lines(self, pattern: str, ignore_case: bool = False, path_filter: str | None = None, use_index: bool | None = None) -> DataFrame:
         """(doc_id, root, path, line_number, line) of every matching line, line numbers from 1."""
         java = to_java(pattern, ignore_case)
         docs = self._documents(pattern, ignore_case, path_filter, use_index)
-        text = lines(to_text(F.col("content")))
-        hits = F.filter(F.transform(text, lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line"))), lambda x: x["line"].rlike(java))
+        hits = F.filter(F.transform(self._lines(java), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line"))), lambda x: x["line"].rlike(java))
         return docs.select("doc_id", "root", "path", F.explode(hits).alias("hit")).select("doc_id", "root", "path", "hit.line_number", "hit.line")
 
     def files(self, pattern: str, ignore_case: bool = False, path_filter: str | None = None, use_index: bool | None = None) -> DataFrame:
         """(doc_id, root, path) of every file with a matching line; stops at a file's first."""
         java = to_java(pattern, ignore_case)
         docs = self._documents(pattern, ignore_case, path_filter, use_index)
-        return docs.where(F.exists(lines(to_text(F.col("content"))), lambda x: x.rlike(java))).select("doc_id", "root", "path")
+        return docs.where(F.exists(self._lines(java), lambda x: x.rlike(java))).select("doc_id", "root", "path")
 
     def counts(self, pattern: str, ignore_case: bool = False, path_filter: str | None = None, use_index: bool | None = None) -> DataFrame:
         """(doc_id, root, path, n) of files with matching lines: no line leaves its row, nothing is shuffled."""
         java = to_java(pattern, ignore_case)
         docs = self._documents(pattern, ignore_case, path_filter, use_index)
-        n = F.size(F.filter(lines(to_text(F.col("content"))), lambda x: x.rlike(java)))
+        n = F.size(F.filter(self._lines(java), lambda x: x.rlike(java)))
         return docs.select("doc_id", "root", "path", n.cast("long").alias("n")).where("n > 0")
 
     def exists(self, pattern: str, ignore_case: bool = False, path_filter: str | None = None, use_index: bool | None = None) -> bool:

@@ -14,6 +14,7 @@ from quernel.sources.ignore import IgnoreRules
 
 #: A file is binary if one of so many first bytes is 0.
 BINARY_WINDOW = 16_384
+LINE_END = "\r?\n"
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def to_text(content: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text: ends are ``\\n`` or ``\\r\\n``, and the last line need not have one."""
-    parts = F.split(text, "\r?\n", -1)
+    parts = F.split(text, LINE_END, -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
