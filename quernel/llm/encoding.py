@@ -11,6 +11,7 @@ prove a wrong decoding too, but one that lost the original.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +29,6 @@ SAMPLE_WORDS = 3_000
 BUCKETS = 1 << 12
 #: Log odds that a stretch of words must exceed.
 LEAST_ODDS = 7.0
-#: Pieces looked for in one line.
-MAX_PIECES = 8
 #: Share of a language's words that an encoding must be able to hold.
 WRITABLE = 0.5
 #: A word that a chain makes of one so many times more frequent is taken for garbled in training.
@@ -221,46 +220,87 @@ class Classifier:
             s = self._cache[token] = self.garbled[:, b].sum(1, dtype=np.float32) - self.proper[:, b].sum(1).max()
         return s
 
-    def piece(self, line: str, tokens: list[tuple[int, int]]) -> tuple[int, int, tuple[str, ...], str] | None:
-        """(start, end, chain, original) of the line's most suspect piece that can be inverted."""
-        if not tokens:
-            return None
+    def _next(self, line: str, at: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray] | None:
+        """The next words from an offset that hold a suspect stretch, and that no class's stretch leaves.
+
+        With each class's greatest log odds of a stretch, its first and its last word.
+        """
+        tokens: list[tuple[int, int]] = []
         k = len(self.chains)
-        best, start = np.full(k, -np.inf, np.float32), np.zeros(k, np.int32)
-        end = np.zeros(k, np.int32)
-        run, begun = np.zeros(k, np.float32), np.zeros(k, np.int32)
-        for i, (a, b) in enumerate(tokens):
-            s = self.score(line[a:b])
+        for m in _TOKEN.finditer(line, at):
+            word = m.group()
+            if word.isascii() or "\ufffd" in word:
+                continue
+            s = self.score(word)
+            if not tokens:
+                if s.max() <= 0:
+                    continue
+                best, start, end = np.full(k, -np.inf, np.float32), np.zeros(k, np.int32), np.zeros(k, np.int32)
+                run, begun = np.zeros(k, np.float32), np.zeros(k, np.int32)
+            i = len(tokens)
+            tokens.append(m.span())
             fresh = run <= 0
             begun = np.where(fresh, i, begun)
             run = np.where(fresh, 0, run) + s
             better = run > best
             best, start, end = np.where(better, run, best), np.where(better, begun, start), np.where(better, i, end)
-        for c in np.argsort(-best)[:24]:
+            if run.max() <= 0:
+                if best.max() > LEAST_ODDS:
+                    return tokens, best, start, end
+                tokens = []
+        return (tokens, best, start, end) if tokens and best.max() > LEAST_ODDS else None
+
+    def piece(self, line: str, tokens: list[tuple[int, int]], best: np.ndarray, start: np.ndarray, end: np.ndarray, past: set[tuple[int, str]]) -> tuple[float, int, int, tuple[str, ...], str] | None:
+        """(log odds, start, end, chain, original) of the words' most suspect piece that can be inverted.
+
+        ``past`` holds the characters that places of the line had; a piece must not just bring them back.
+        """
+        for c in np.argsort(-best, kind="stable")[:24]:
             if best[c] <= LEAST_ODDS:
                 return None
             a, b = tokens[start[c]][0], tokens[end[c]][1]
             for x, y in ((a, b), (a, b + 1), (a - 1, b), (a, b - 1)):
                 if 0 <= x < y <= len(line):
                     original = restore(line[x:y], self.chains[c])
-                    if original is not None and original != line[x:y] and not _UNDEFINED.search(original):
-                        return x, y, self.chains[c], original
+                    if original is not None and original != line[x:y] and not _UNDEFINED.search(original) and _onward(line, x, y, original, past):
+                        return float(best[c]), x, y, self.chains[c], original
         return None
 
     def repair(self, line: str) -> tuple[list[str], str]:
-        """The chains found in a line, and the line with their pieces restored."""
-        found: list[str] = []
-        for _ in range(MAX_PIECES):
-            tokens = [m.span() for m in _TOKEN.finditer(line) if not m.group().isascii() and "�" not in m.group()]
-            hit = self.piece(line, tokens)
+        """The chains found in a line, most suspect first, and the line with their pieces restored."""
+        found: list[list[tuple[float, str]]] = [[]]
+        past: set[tuple[int, str]] = set()
+        at = 0
+        while (part := self._next(line, at)) is not None:
+            tokens = part[0]
+            hit = self.piece(line, *part, past)
             if hit is None:
-                break
-            x, y, chain, original = hit
-            found.append(">".join(chain))
+                at = tokens[-1][1]
+                found.append([])
+                continue
+            odds, x, y, chain, original = hit
+            found[-1].append((odds, ">".join(chain)))
+            if len(original) < y - x:
+                past.clear()
+            else:
+                past.update(enumerate(line[x:y], x), enumerate(original, x))
             line = line[:x] + original + line[y:]
-        if "�" in line:
-            found.append(LOST)
-        return found, line
+            at = min(tokens[0][0], x)
+            while at and _TOKEN.match(line[at - 1]):
+                at -= 1
+        chains = [name for _, name in heapq.merge(*found, key=lambda f: -f[0])]
+        if "\ufffd" in line:
+            chains.append(LOST)
+        return chains, line
+
+    def suspect(self, line: str) -> bool:
+        """Whether a stretch of the line is more likely garbled than proper text."""
+        return self._next(line, 0) is not None
+
+
+def _onward(line: str, x: int, y: int, original: str, past: set[tuple[int, str]]) -> bool:
+    """Whether the original is shorter or has a character that its place never had, so that repair ends."""
+    return len(original) < y - x or len(original) == y - x and any(new != old and (k, new) not in past for k, (old, new) in enumerate(zip(line[x:y], original), x))
 
 
 def training_lines(df: DataFrame, key: str, text: str, limit: int = SAMPLE_LINES) -> list[str]:
@@ -274,7 +314,8 @@ def find_garbled(df: DataFrame, key: str, text: str, limit: int = SAMPLE_LINES)
 
     ``chains`` names the encodings passed through, innermost last; ``lost`` stands for replacement
     characters, whose original is gone. ``restored`` is the text with every piece that could be
-    inverted put right, ``is_restored`` whether that is all of it.
+    inverted put right, however many there are; ``is_restored`` whether that is all of it, that is,
+    nothing is lost and nothing suspect is left.
 
     Cases: null, empty and ASCII texts are proper; repeated rows give repeated rows; texts may be of
     any length, all words being scored; an empty table gives an empty result; other columns are not
@@ -292,7 +333,7 @@ def find_garbled(df: DataFrame, key: str, text: str, limit: int = SAMPLE_LINES)
             for k, line in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 chains, better = model.repair(line)
                 if chains:
-                    out.append((k, chains, better, LOST not in chains))
+                    out.append((k, chains, better, LOST not in chains and not model.suspect(better)))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("key").type), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], names=["key", "chains", "restored", "is_restored"])
 

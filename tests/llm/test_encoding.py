@@ -71,3 +71,29 @@ def test_rows(table):
     got = {r["key"]: r for r in E.find_garbled(df, "id", "body").collect()}
     assert set(got) == {1000, 1003, None} and got[1000]["restored"] == "wählen Größe prüfen" and got[1000]["is_restored"] and not got[1003]["is_restored"]
     assert E.find_garbled(df.where("false"), "id", "body").count() == 0
+
+
+def test_any_number_of_pieces(model):
+    """More pieces than once were looked for, with proper words between that keep them apart."""
+    for n in (9, 60):
+        want = " ".join("Größe загрузка öffnung ключ" for _ in range(n))
+        made = want.replace("Größe", E.garble("Größe", ("utf-8", "cp1252"))).replace("öffnung", E.garble("öffnung", ("utf-8", "latin-1")))
+        chains, better = model.repair(made)
+        assert better == want and len(chains) > 8 and not model.suspect(better)
+
+
+def test_repair_ends_where_chains_undo_each_other(model):
+    for text in PHRASES[2:4]:
+        made = text
+        for chain in (("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1250", "cp1252"), ("iso8859_2", "latin-1")):
+            made = f"{made} {E.garble(text, chain) or ''} {E.restore(text, chain) or ''}"
+        chains, better = model.repair(made * 5)
+        assert len(better) <= 5 * len(made) and (chains != []) == (better != made * 5)
+
+
+def test_rows_with_suspect_rest_are_not_restored(table):
+    """The last piece lost a byte within, so that it can't be inverted."""
+    rows = [(k, f"{c} {k}", "x") for k in range(40) for c in CLEAN] + [(1000, "wÃ¤hlen GrÃ¶ÃŸe prÃ¼fen", "x"), (1001, "wÃ¤hlen GrÃ¶ÃŸe prÃ¼fen значение ключ ошибка загрузка GrÃ¶ÃŸÃe", "x")]
+    got = {r["key"]: r for r in E.find_garbled(table(rows, "id long, body string, restored string"), "id", "body").collect()}
+    assert set(got) == {1000, 1001} and got[1000]["is_restored"]
+    assert got[1001]["restored"].startswith("wählen Größe prüfen значение") and got[1001]["restored"].endswith("GrÃ¶ÃŸÃe") and not got[1001]["is_restored"]
