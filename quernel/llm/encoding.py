@@ -5,12 +5,14 @@ words of a bounded sample of lines (and a few fixed phrases) are put through eve
 under consideration, each chain being a class, the words as they are being the class of proper
 text. A line is scored word by word; the stretch of words with the greatest log odds of a chain
 against proper text is the suspected piece. The chain is then inverted; only if that decodes
-strictly, the piece counts as garbled and is replaced by the original text. Replacement characters
-prove a wrong decoding too, but one that lost the original.
+strictly, the piece counts as garbled and is replaced by the original text; a stretch that does not
+is split where decoding fails, and its parts are tried. Replacement characters prove a wrong decoding
+too, but one that lost the original.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 from collections import Counter
@@ -36,6 +38,8 @@ RARER = 4
 LOST = "lost"
 
 _WRITTEN = ("utf-8", "cp1252", "iso8859_15", "iso8859_2", "cp1250", "cp1251", "koi8_r", "iso8859_5", "cp866", "cp1253", "iso8859_7", "cp1254", "cp1257", "cp437", "cp850", "cp852", "mac_roman", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr")
+#: Of these, the ones that have characters of several bytes, the last of which may be ASCII.
+_WIDE = frozenset(("gb18030", "shift_jis", "euc_jp", "big5", "euc_kr"))
 _READ = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8_r", "cp437", "cp850", "mac_roman", "iso8859_2", "cp866", "cp1253", "cp1254")
 _TWICE = (("utf-8", "cp1252", "utf-8", "cp1252"), ("utf-8", "latin-1", "utf-8", "latin-1"), ("utf-8", "cp1252", "utf-8", "latin-1"), ("utf-8", "latin-1", "utf-8", "cp1252"), ("utf-8", "cp1251", "utf-8", "cp1251"), ("utf-8", "cp1250", "utf-8", "cp1250"), ("utf-8", "cp1252", "utf-8", "cp1252", "utf-8", "cp1252"))
 #: Every chain: written in the first, read in the second, and so on.
@@ -109,6 +113,25 @@ def restore(text: str, chain: tuple[str, ...]) -> str | None:
     return text
 
 
+def _fails(text: str, chain: tuple[str, ...]) -> int:
+    """Where in a text inverting the chain fails, or gives a control character; its length if nowhere."""
+    written, read = chain[-2:]
+    back = _reader(read)[1]
+    stop = next((i for i, c in enumerate(text) if c not in back), len(text))
+    data = bytes([back[c] for c in text[:stop]])
+    try:
+        within = data.decode(written)
+    except UnicodeDecodeError as e:
+        stop = e.start
+        within = data[:stop].decode(written)
+    if len(chain) > 2:
+        at = _fails(within, chain[:-2])
+    else:
+        m = _UNDEFINED.search(within)
+        at = m.start() if m else len(within)
+    return stop if at >= len(within) else len(within[:at].encode(written))
+
+
 def _bigrams(token: str) -> np.ndarray:
     b = np.frombuffer(b" " + token.encode("utf-8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
     return ((b[:-1] << 8 | b[1:]) * np.uint32(2654435761)) >> np.uint32(20)
@@ -250,21 +273,81 @@ class Classifier:
                 tokens = []
         return (tokens, best, start, end) if tokens and best.max() > LEAST_ODDS else None
 
-    def piece(self, line: str, tokens: list[tuple[int, int]], best: np.ndarray, start: np.ndarray, end: np.ndarray, past: set[tuple[int, str]]) -> tuple[float, int, int, tuple[str, ...], str] | None:
-        """(log odds, start, end, chain, original) of the words' most suspect piece that can be inverted.
-
-        ``past`` holds the characters that places of the line had; a piece must not just bring them back.
+    @staticmethod
+    def _parts(line: str, tokens: list[tuple[int, int]], low: int, high: int, chain: tuple[str, ...], known: dict[str, bool]) -> list[tuple[int, int]]:
+        """The runs of words from low to high that lie between words where inverting the chain fails."""
+        out, i = [], low
+        if chain[0] not in _WIDE:  # no character lasts from one word to the next
+            for w in range(low, high):
+                word = line[slice(*tokens[w])]
+                if word not in known:
+                    known[word] = _fails(word, chain) == len(word)
+                if not known[word]:
+                    out.append((i, w))
+                    i = w + 1
+            out.append((i, high))
+        while chain[0] in _WIDE and i < high:
+            step, a = 8, tokens[i][0]
+            while (place := a + _fails(line[a : tokens[(j := min(i + step, high)) - 1][1]], chain)) >= tokens[j - 1][0] and j < high:
+                step *= 2
+            w = next((w for w in range(i, j) if tokens[w][1] > place), j)
+            out.append((i, w))
+            i = max(w, i + 1)
+        return [(i, j) for i, j in out if i < j]
+
+    def pieces(self, line: str, tokens: list[tuple[int, int]], best: np.ndarray, start: np.ndarray, end: np.ndarray, past: set[tuple[int, str]]) -> list[tuple[float, int, int, tuple[str, ...], str]]:
+        """(log odds, start, end, chain, original) of pieces of the words that can be inverted, most suspect first.
+
+        They do not overlap; none is less suspect than one that overlaps them. A stretch that can't be
+        inverted is split at the words where its chain fails, and its parts are searched. ``past`` holds
+        the characters that places of the line had; a piece must not just bring them back.
         """
-        for c in np.argsort(-best, kind="stable")[:24]:
-            if best[c] <= LEAST_ODDS:
-                return None
-            a, b = tokens[start[c]][0], tokens[end[c]][1]
-            for x, y in ((a, b), (a, b + 1), (a - 1, b), (a, b - 1)):
-                if 0 <= x < y <= len(line):
-                    original = restore(line[x:y], self.chains[c])
-                    if original is not None and original != line[x:y] and not _UNDEFINED.search(original) and _onward(line, x, y, original, past):
-                        return float(best[c]), x, y, self.chains[c], original
-        return None
+        n = len(tokens)
+        heap = [(-float(best[c]), k, c, 0, n, int(start[c]), int(end[c])) for k, c in enumerate(np.argsort(-best, kind="stable").tolist()) if best[c] > LEAST_ODDS]
+        heapq.heapify(heap)
+        scores = np.stack([self.score(line[i:j]) for i, j in tokens]).T if n <= 4096 else None
+        odds_of: dict[int, list[float]] = {}
+        known: dict[tuple[str, ...], dict[str, bool]] = {}
+        hits: list[tuple[float, int, int, tuple[str, ...], str]] = []
+        spans: list[tuple[int, int]] = []
+        taken = bytearray(n)
+        while heap:
+            odds, k, c, low, high, first, last = heapq.heappop(heap)
+            a, b = tokens[first][0], tokens[last][1]
+            chain = self.chains[c]
+            parts = [(low, first), (last + 1, high)]
+            if taken.find(0, first, last + 1) >= 0:
+                for x, y in ((a, b), (a, b + 1), (a - 1, b), (a, b - 1)):
+                    if 0 <= x < y <= len(line):
+                        original = restore(line[x:y], chain)
+                        if original is not None and original != line[x:y] and not _UNDEFINED.search(original) and _onward(line, x, y, original, past):
+                            break
+                else:
+                    original = None
+                    if a + _fails(line[a:b], chain) < b:  # else it can be inverted, but that changes nothing or brings back what was there
+                        parts.append((first, last + 1))
+                if original is not None:
+                    at = bisect.bisect(spans, (x, y))
+                    if at and spans[at - 1][1] > x or at < len(spans) and spans[at][0] < y:
+                        break
+                    spans.insert(at, (x, y))
+                    taken[first : last + 1] = b"\1" * (last + 1 - first)
+                    hits.append((-odds, x, y, chain, original))
+            if c not in odds_of:
+                odds_of[c] = (scores[c] if scores is not None else np.array([self.score(line[i:j])[c] for i, j in tokens])).tolist()
+            own = odds_of[c]
+            for i, j in (p for part in parts if part[0] < part[1] for p in self._parts(line, tokens, *part, chain, known.setdefault(chain, {}))):
+                most, run = LEAST_ODDS, 0.0
+                found = None
+                for w in range(i, j):
+                    if run <= 0:
+                        run, begun = 0.0, w
+                    run += own[w]
+                    if run > most:
+                        most, found = run, (begun, w)
+                if found is not None and found != (first, last):
+                    heapq.heappush(heap, (-most, k, c, i, j, *found))
+        return hits
 
     def repair(self, line: str) -> tuple[list[str], str]:
         """The chains found in a line, most suspect first, and the line with their pieces restored."""
@@ -273,19 +356,23 @@ class Classifier:
         at = 0
         while (part := self._next(line, at)) is not None:
             tokens = part[0]
-            hit = self.piece(line, *part, past)
-            if hit is None:
+            hits = self.pieces(line, *part, past)
+            if not hits:
                 at = tokens[-1][1]
                 found.append([])
                 continue
-            odds, x, y, chain, original = hit
-            found[-1].append((odds, ">".join(chain)))
-            if len(original) < y - x:
+            found[-1] += [(odds, ">".join(chain)) for odds, _, _, chain, _ in hits]
+            if any(len(original) < y - x for _, x, y, _, original in hits):
                 past.clear()
             else:
-                past.update(enumerate(line[x:y], x), enumerate(original, x))
-            line = line[:x] + original + line[y:]
-            at = min(tokens[0][0], x)
+                for _, x, y, _, original in hits:
+                    past.update(enumerate(line[x:y], x), enumerate(original, x))
+            done, out = 0, []
+            for _, x, y, _, original in sorted(hits, key=lambda h: h[1]):
+                out += [line[done:x], original]
+                done = y
+            line = "".join([*out, line[done:]])
+            at = min(tokens[0][0], *(x for _, x, _, _, _ in hits))
             while at and _TOKEN.match(line[at - 1]):
                 at -= 1
         chains = [name for _, name in heapq.merge(*found, key=lambda f: -f[0])]

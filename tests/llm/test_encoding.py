@@ -97,3 +97,25 @@ def test_rows_with_suspect_rest_are_not_restored(table):
     got = {r["key"]: r for r in E.find_garbled(table(rows, "id long, body string, restored string"), "id", "body").collect()}
     assert set(got) == {1000, 1001} and got[1000]["is_restored"]
     assert got[1001]["restored"].startswith("wählen Größe prüfen значение") and got[1001]["restored"].endswith("GrÃ¶ÃŸÃe") and not got[1001]["is_restored"]
+
+
+@pytest.mark.parametrize("word", ["загрузка", "检查返回"])
+@pytest.mark.parametrize("between", ["–", "naïve", "é", "café"])
+@pytest.mark.parametrize("chain", [("utf-8", "cp1252"), ("utf-8", "cp1252", "utf-8", "cp1252")])
+def test_proper_words_between_garbled_ones(model, word, between, chain):
+    """The joined stretch can't be inverted, each garbled word alone can."""
+    made = E.garble(word, chain)
+    chains, better = model.repair(f"{made} {between} {made}")
+    assert chains and better == f"{word} {between} {word}"
+
+
+def test_long_text_of_garbled_and_proper_words(model):
+    made = " ".join([E.garble("загрузка", ("utf-8", "cp1252")), "–"] * 400)
+    assert model.repair(made)[1] == " ".join(["загрузка", "–"] * 400)
+
+
+def test_place_of_failure():
+    for chain in (("utf-8", "cp1252"), ("utf-8", "latin-1", "utf-8", "cp1252"), ("gb18030", "latin-1")):
+        made = E.garble("错误 检查", chain)
+        assert E._fails(made, chain) == len(made) and E._fails(made + " Ω", chain) == len(made) + 1
+    assert E._fails("GrÃ¶ÃŸe é x", ("utf-8", "cp1252")) == 8
