@@ -68,15 +68,32 @@ _MARKS = ("//", "/*", "*", "#", "--", ";", "%", "<!--", '"""', "'''")
 _TEMPLATE = {c: None for c in range(128) if chr(c).isalnum() or chr(c) == "_"}
 #: Files with a smaller share of digits hold no bulk data worth a closer look.
 _DIGITS = 0.06
+#: Comments among so many lines count as the header even if code stands between.
 _HEADER_LINES = 12
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+#: What goes on with a header beyond those; not directives, attributes, operators and rules of style sheets.
+_LINE_COMMENT = re.compile(r"//|/\*|#+(?:\s|$)|##|--+(?:\s|$)|;+(?:\s|$)|%+(?:\s|$)|<!--")
 
 
-def _comments(lines: list[str]) -> list[str]:
-    out = []
-    for line in lines:
+def _header(lines: list[str]) -> list[str]:
+    """The comments among the first lines, and all of the comment block that they begin or end in."""
+    out, close, leading = [], "", True
+    for n, line in enumerate(lines):
         m = _COMMENT.match(line)
-        if m:
-            out.append(line[m.end() :].strip().rstrip("*/->").strip() if line.rstrip().endswith(("*/", "-->")) else line[m.end() :].strip())
+        if not close and (m is None or n >= _HEADER_LINES and not _LINE_COMMENT.match(line)):
+            if n >= _HEADER_LINES:
+                break
+            leading = False
+            continue
+        text = line[m.end() if m else 0 :].strip()
+        out.append(text.rstrip("*/->").strip() if line.endswith(("*/", "-->")) else text)
+        if close:
+            close = "" if close in line else close
+        else:
+            begin = next((x for x in _BLOCKS if line.startswith(x)), None)
+            # three quotes after code may be the end of a text
+            if begin is not None and (leading or begin in ("/*", "<!--")) and _BLOCKS[begin] not in line[len(begin) :]:
+                close = _BLOCKS[begin]
     return out
 
 
@@ -105,7 +122,7 @@ def classify(path: str | None, text: str) -> str | None:
     if extension in NOTES or (not extension and not text.startswith("#!")):
         return "vendored" if vendored else None
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    head = _comments(lines[:_HEADER_LINES])
+    head = _header(lines)
     if any(_GENERATED.search(c) for c in head):
         return "generated"
     if vendored or any(_PACKAGE.search(c) for c in head):

@@ -62,3 +62,19 @@ def test_odd_rows(table):
     rows = [row(1, 1, "a.py", CODE, early), row(1, 1, "a.py", gen, late), row(2, 1, "b.py", gen, None), row(2, 1, "b.py", CODE, early), row(3, None, None, None), row(None, 1, "c.py", gen), row(4, 1, "/".join("d" * 100) + "/x.py", b"\xff\xfe" + CODE.encode()), row(5, 1, "big.py", CODE * 20_000), row(6, 1, "", ""), row(1, 1, "a.py", gen, late)]
     assert found(table(rows, SCHEMA)) == {1: "generated", 2: None, 3: None, 4: None, 5: None, 6: None}
     assert found(table([], SCHEMA)) == {}
+
+
+LICENCE = [*(f"Line {k} of a licence, under which this file is distributed without warranties" for k in range(17)), "", "limitations under the License."]
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a/b.go", "\n".join(f"// {x}" for x in LICENCE) + "\n\n// Code generated by protoc-gen-x. DO NOT EDIT.\npackage a\n" + CODE, "generated"), ("a/b.py", "\n".join(f"# {x}" for x in LICENCE) + "\n# @generated by tool\n" + CODE, "generated"),
+        ("a/b.c", "/*\n" + "\n".join(f" * {x}" for x in LICENCE) + "\n */\n/* This file was generated by xgen */\nint a;\n", "generated"), ("a/b.c", "/*\n" + "\n".join(LICENCE) + "\n*/\n// Bundled copy of left 1.2.3. Upstream changes only.\nint a;\n", "vendored"),
+        ("a/b.php", "<?php\n/*\n" + "\n".join(LICENCE) + "\n@generated\n*/\n" + CODE, "generated"), ("a/b.c", "/*\n" + "\n".join(LICENCE) + "\n*/\n" + CODE, None), ("a/b.py", "\n".join(f"# {x}" for x in LICENCE) + "\n" + CODE + "# @generated by tool\n", None),
+        ("a/b.c", "#include <a.h>\n" * 14 + "// @generated is what the writer puts here\n" + CODE, None), ("a/b.py", 'x = """\na\n"""\n' + CODE * 3 + "emit('@generated')\n", None),
+    ],
+)
+def test_header_of_any_length(path, text, want):
+    assert H.classify(path, text) == want
