@@ -66,8 +66,10 @@ _BLOB = re.compile(r"""["'](?:data:[\w/+.;=-]+,)?[A-Za-z0-9+/=_\\-]*["']""")
 _MARKS = ("//", "/*", "*", "#", "--", ";", "%", "<!--", '"""', "'''")
 #: What a template leaves of a line: its punctuation and blanks.
 _TEMPLATE = {c: None for c in range(128) if chr(c).isalnum() or chr(c) == "_"}
-#: Files with a smaller share of digits hold no bulk data worth a closer look.
+#: Files with smaller shares of digits and, if code, of quotes hold no bulk data worth a closer look:
+#: literals of less than 200 characters that make three quarters of a text need as many quotes.
 _DIGITS = 0.06
+_QUOTES = 0.0075
 #: Comments among so many lines count as the header even if code stands between.
 _HEADER_LINES = 12
 _BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
@@ -129,10 +131,10 @@ def classify(path: str | None, text: str) -> str | None:
         return "vendored"
     body = [x for x in lines if not x.startswith(_MARKS) or x.startswith("#include")]
     size = sum(map(len, body))
-    if not body or extension not in CODE and extension != "json":
+    if not body or extension not in CODE and extension not in ("json", "html", "svg"):
         return None
     longest = max(body, key=len)
-    if sum(map(text.count, "0123456789")) >= _DIGITS * len(text):
+    if extension in CODE and text.count('"') + text.count("'") >= _QUOTES * len(text) or extension not in ("html", "svg") and sum(map(text.count, "0123456789")) >= _DIGITS * len(text):
         if size >= 400 and _literal("\n".join(body)) > 0.75:
             return "data"
         if len(longest) >= 400 and len(longest) > 0.7 * size and _literal(longest) > 0.75:
@@ -141,6 +143,8 @@ def classify(path: str | None, text: str) -> str | None:
         blanks = sum(map(longest.count, " \t")) / len(longest)
         if blanks < (0.1 if _MINIFIED_NAME.search(name) else 0.075):
             return "minified"
+    if extension in ("html", "svg"):
+        return None
     if len(body) >= 5:
         shape, n = Counter(x.translate(_TEMPLATE) for x in body).most_common(1)[0]
         if n >= 0.75 * len(body) and len(shape.strip()) >= 3:

@@ -78,3 +78,19 @@ LICENCE = [*(f"Line {k} of a licence, under which this file is distributed witho
 )
 def test_header_of_any_length(path, text, want):
     assert H.classify(path, text) == want
+
+
+WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "tre") for b in ("ran", "stol", "vik") for c in ("a", "en", "ost", "ulf")]
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a/b.html", "<html><head><title>x</title></head>" + "".join(f'<div><a href="/p{k}">n{k}</a></div>' for k in range(40)) + "</html>", "minified"), ("a/b.svg", "<svg>" + "".join(f"<g><use/><set/><a/></g><v{k}/>" for k in range(30)) + "</svg>", "minified"),
+        ("a/b.html", "<html>\n" + "".join(f'  <p class="x">\n    some words of number {k}\n  </p>\n' for k in range(9)) + "</html>\n", None), ("a/b.svg", "<svg>\n" + '  <rect width="1" height="2"/>\n' * 20 + "</svg>\n", None),
+        ("a/b.py", "WORDS = [" + ", ".join(f'"{w}"' for w in WORDS) + "]\n", "data"), ("a/b.js", "const w = [\n" + "".join("  " + ", ".join(f"'{w}'" for w in WORDS[k : k + 3 + k % 4]) + ",\n" for k in range(0, 40, 5)) * 2 + "];\n", "data"),
+        ("a/b.json", "{" + ", ".join(f'"{w}": "{w}"' for w in WORDS) + "}\n", None), ("a/b.py", 'SMALL = ["ka", "lo", "mi"]\n' + CODE, None), ("a/b.py", "".join(f"    if name == '{w}' and state.open:\n        return handler.{w}(name, state)\n" for w in WORDS[:6]), None),
+    ],
+)
+def test_rules_reach_their_cases(path, text, want):
+    assert H.classify(path, text) == want
