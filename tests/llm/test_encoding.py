@@ -119,3 +119,14 @@ def test_place_of_failure():
         made = E.garble("错误 检查", chain)
         assert E._fails(made, chain) == len(made) and E._fails(made + " Ω", chain) == len(made) + 1
     assert E._fails("GrÃ¶ÃŸe é x", ("utf-8", "cp1252")) == 8
+
+
+#: (chain, text) that do not invert: none of these texts.
+NOT_INVERTED: set[tuple[tuple[str, ...], str]] = set()
+
+
+def test_every_chain_is_inverted_exactly():
+    texts = [*PHRASES, *E.PHRASES]
+    made = {(c, t): E.garble(t, c) for c in E.CHAINS for t in texts}
+    assert {c for (c, _), g in made.items() if g is not None} == set(E.CHAINS)
+    assert {(c, t) for (c, t), g in made.items() if g is not None and E.restore(g, c) != t} == NOT_INVERTED
