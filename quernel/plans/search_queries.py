@@ -136,6 +136,12 @@ def trigram_windows(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("item_id", F.size("t").cast("long").alias("n"), F.hex(F.element_at("t", 1)).alias("first"), F.hex(F.element_at("t", -1)).alias("last"))
 
 
+def trigram_document_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window of each document in order: how many there are, the first and the last."""
+    t = documents(spark, sf).select("doc_id", trigrams(F.col("content")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.hex(F.element_at("t", 1)).alias("first"), F.hex(F.element_at("t", -1)).alias("last"))
+
+
 def trigram_loc_mask(spark: SparkSession, sf: str) -> DataFrame:
     masks = trigram_masks(documents(spark, sf), "doc_id", "content")
     return masks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_trigrams"), F.sum("loc_mask").cast("long").alias("sum_loc"))
@@ -216,6 +222,12 @@ def ngram_sparse(spark: SparkSession, sf: str) -> DataFrame:
     return entries.groupBy(F.col("doc_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n_entries"), F.sum("pos").alias("sum_pos"))
 
 
+def ngram_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse n-grams of each document: how many, and the sum of their positions."""
+    entries = index_entries(documents(spark, sf), distinct=False)
+    return entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("pos").alias("sum_pos"))
+
+
 def ngram_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Index entries per document."""
     entries = index_entries(documents(spark, sf))
@@ -226,6 +238,10 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return build(_items(spark, sf)).stats()
 
 
+def index_stats_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return build(documents(spark, sf)).stats()
+
+
 def index_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of the n-gram ``the`` (lower case, any context)."""
     import zlib
@@ -300,9 +316,9 @@ QUERIES |= {
 QUERIES |= {
     f.__name__: f
     for f in (
-        search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_windows, trigram_loc_mask, trigram_next_mask, trigram_adjacency, trigram_postings,
+        search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_windows, trigram_document_windows, trigram_loc_mask, trigram_next_mask, trigram_adjacency, trigram_postings,
         posting_df, posting_intersect, posting_union, posting_subtract, posting_intersect_many, posting_union_many, posting_delta_encode, posting_delta_decode,
-        ngram_sparse, ngram_documents, index_stats, index_lookup, overlay_detect, overlay_search, overlay_refresh, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
+        ngram_sparse, ngram_positions, ngram_documents, index_stats, index_stats_documents, index_lookup, overlay_detect, overlay_search, overlay_refresh, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
     )
 }
 
@@ -349,6 +365,7 @@ SQL |= {
     "candidates_missed": "select unnest(['the.*ing (s|c)', 'piezoelectric', '[Cc]laims? [2-4]', 'graphite|borosilicate', 'of']) as pattern, 0::bigint as n_missed",
     "trigram_counts": f"with {_GRAMS} select trigram, count(*) as n_occurrences, count(distinct doc_id) as n_docs from g group by 1",
     "trigram_windows": "with b as (select item_id, hex(encode(text)) as h, octet_length(encode(text)) as n from eval_item where text is not null) select item_id, greatest(n - 2, 0)::bigint as n, case when n >= 3 then substr(h, 1, 6) end as first, case when n >= 3 then substr(h, 2 * n - 5, 6) end as last from b",
+    "trigram_document_windows": "with b as (select doc_id, hex(encode(text)) as h, octet_length(encode(text)) as n from documents where text is not null) select doc_id, greatest(n - 2, 0)::bigint as n, case when n >= 3 then substr(h, 1, 6) end as first, case when n >= 3 then substr(h, 2 * n - 5, 6) end as last from b",
     "trigram_loc_mask": f"with {_MASKS} select doc_id, count(*) as n_trigrams, sum(loc)::bigint as sum_loc from m group by 1",
     "trigram_adjacency": f"with {_MASKS} select a.doc_id, count(*) as n_pairs, sum((((((a.loc << 1) | (a.loc >> 7)) & 255) & b.loc) <> 0)::bigint)::bigint as n_adjacent from m a join m b on a.doc_id = b.doc_id and substr(a.trigram, 3, 4) = substr(b.trigram, 1, 4) group by 1",
     "trigram_postings": f"with {_GRAMS}, k as (select distinct trigram, doc_id from g) select trigram, doc_id // 65536 as chunk, count(*) as n_docs, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from k group by 1, 2",
