@@ -8,6 +8,9 @@ against proper text is the suspected piece. The chain is then inverted; only if
 strictly, the piece counts as garbled and is replaced by the original text; a stretch that does not
 is split where decoding fails, and its parts are tried. Replacement characters prove a wrong decoding
 too, but one that lost the original.
+
+The wrong readings are single-byte encodings. Text read as GBK, Shift-JIS, Big5 or EUC-KR belongs to
+no class; it is found only where a replacement character stands in it, and never restored.
 """
 
 from __future__ import annotations
