@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.runtime import numbered
-from quernel.sources.ignore import IgnoreRules
+from quernel.runtime import numbered, parallelism, stored
+from quernel.sources import walk
+from quernel.sources.ignore import user_rules
 
 #: A file is binary if one of so many first bytes is 0.
 BINARY_WINDOW = 16_384
 LINE_END = "\r?\n"
+#: Bytes of files that one task reads, and bytes below which it isn't worth another task.
+FILE_BYTES, SMALL_BYTES = 128 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,34 +71,23 @@ def from_table(df: DataFrame, doc_id: str, path: Column | str, content: str, roo
 def from_directories(spark: SparkSession, roots: Iterable[str], config: IndexConfig = IndexConfig()) -> DataFrame:
     """A corpus of the files below the roots; paths are relative to their own root.
 
-    Hidden files, files that the roots' ignore files name, files above the size limit and binary
-    files are left out; so are links, where the roots are local. Ids follow the order of roots and
-    paths. A root that is a file is one file named by its base name.
+    Hidden files, files that ignore files name, links and what lies below linked folders, files
+    above the size limit and binary files are left out, whatever else they are called. Ids follow
+    the order of roots and paths. A root that is a file is one file named by its base name. The
+    listing is made now, by the tasks; contents are read whenever the corpus is, and are null for
+    files that cannot be read any more.
     """
-    parts = None
-    for order, root in enumerate(roots):
-        local = root.removeprefix("file://").rstrip("/") or "/"
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        whole = F.regexp_replace("path", "^file:/+", "/")
-        base = os.path.dirname(local) if os.path.isfile(local) else local
-        relative = F.substring(whole, F.lit(len(base.rstrip("/")) + 2), F.length(whole)) if os.path.exists(local) else F.regexp_replace(F.col("path"), "^.*?" + _quoted(local) + "/*", "")
-        one = found.select(F.lit(order).alias("n"), F.lit(root).alias("root"), relative.alias("path"), F.col("length").alias("size"), "content")
-        one = one.where(is_small(F.col("size"), config) & is_visible(F.col("path")))
-        if os.path.isdir(local):
-            rules = IgnoreRules.from_directory(local)
-            one = one.where(~rules.matches(F.col("path")))
-            links = rules.links
-            if links:
-                one = one.where(~F.col("path").isin(links))
-        if config.skip_binary:
-            one = one.where(is_text(F.col("content")))
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
+    roots = list(roots)
+    if not roots:
         raise ValueError("no root")
-    # dense ids by a sort of the paths alone; contents are joined to them afterwards
-    dense = numbered(parts.select("n", "path").orderBy("n", path_order(F.col("path"))), "doc_id", "paths")
-    return parts.join(dense, ["n", "path"]).select("doc_id", "root", "path", "content")
-
-
-def _quoted(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    user = user_rules()
+    parts: list[tuple[int, str, bytes, bool]] = []
+    for n, root in enumerate(roots):
+        t = walk.tree(root, user)
+        parts += [(n, root, b"", False)] if t.is_file() else [(n, root, at, deep) for at, deep in walk.subtrees(t)]
+    work = spark.createDataFrame(parts, "n int, root string, at binary, deep boolean").repartition(min(len(parts), 8 * parallelism(spark)))
+    listing = work.mapInArrow(walk.lister(config.max_file_size, BINARY_WINDOW if config.skip_binary else 0, user), "n int, root string, path string, location binary, size long")
+    dense = stored(numbered(listing.orderBy("n", path_order(F.col("path")), "location"), "doc_id", "paths"), "listing")
+    total = dense.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, min(total // FILE_BYTES, 100_000), min(parallelism(spark), total // SMALL_BYTES))
+    return dense.select("doc_id", "root", "path", "location").repartitionByRange(int(tasks), "doc_id").mapInArrow(walk.read_contents, "doc_id long, root string, path string, content binary")

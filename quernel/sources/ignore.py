@@ -1,15 +1,31 @@
-"""Ignore files (``.gitignore``, ``.ignore``) as a predicate over relative paths."""
+"""Ignore files (``.ignore``, ``.gitignore``, ``.git/info/exclude``): which files of a tree they leave out.
+
+An entry of an ignored folder is ignored, whatever rules it matches itself: the folder is never
+opened. Of the rules that an entry matches, those of ``.ignore`` files go before those of
+``.gitignore`` files, these before the repository's own exclude file, and this before the user's;
+among files of one kind the one nearest to the entry decides, and in a file the last line.
+"""
 
 from __future__ import annotations
 
 import os
 import re
+import subprocess
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NAMES = (".gitignore", ".ignore")
+
+class Rule(NamedTuple):
+    """``pattern`` is searched in the path of an entry relative to the folder of the ignore file."""
+
+    pattern: str
+    ignores: bool = True
+    only_folders: bool = False
 
 
 def glob_to_regex(glob: str) -> str:
@@ -37,8 +53,8 @@ def glob_to_regex(glob: str) -> str:
     return out
 
 
-def rule_to_regex(line: str, base: str = "") -> tuple[str, bool] | None:
-    """(pattern over whole relative paths, whether it ignores) of a line; null for blanks and comments."""
+def parse_rule(line: str) -> Rule | None:
+    """The rule of a line of an ignore file; null for blanks and comments."""
     line = line.rstrip("\r\n")
     while line.endswith(" ") and not line.endswith("\\ "):
         line = line[:-1]
@@ -47,49 +63,119 @@ def rule_to_regex(line: str, base: str = "") -> tuple[str, bool] | None:
     ignores = not line.startswith("!")
     line = line if ignores else line[1:]
     line = line[1:] if line.startswith(("\\#", "\\!")) else line
-    folder = line.endswith("/")
+    only_folders = line.endswith("/")
     line = line.rstrip("/")
     anchored = "/" in line
-    body = glob_to_regex(line.lstrip("/"))
-    start = "^" + re.escape(base + "/" if base else "")
-    return start + ("" if anchored else "(?:.*/)?") + body + ("/.*$" if folder else "(?:/.*)?$"), ignores
+    return Rule(("^" if anchored else "^(?:.*/)?") + glob_to_regex(line.lstrip("/")) + "$", ignores, only_folders)
+
+
+def parse_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
+    return tuple(r for r in map(parse_rule, lines) if r)
+
+
+@lru_cache(maxsize=100_000)
+def _compiled(pattern: str) -> re.Pattern:
+    try:
+        return re.compile(pattern)
+    except re.error:  # a glob that is none, such as [z-a], names nothing
+        return re.compile(r"(?!)")
+
+
+def verdict(rules: Sequence[Rule], path: str, is_folder: bool) -> bool | None:
+    """Whether the last rule that an entry matches ignores it; null if it matches none."""
+    for r in reversed(rules):
+        if (is_folder or not r.only_folders) and _compiled(r.pattern).search(path):
+            return r.ignores
+    return None
 
 
 @dataclass
 class IgnoreRules:
-    """The rules of a directory tree in the order in which later ones overrule earlier ones."""
-
-    rules: list[tuple[str, bool]] = field(default_factory=list)
-    links: list[str] = field(default_factory=list)
-
-    @classmethod
-    def from_directory(cls, root: str) -> IgnoreRules:
-        """Reads the ignore files of a local tree; unreadable folders are passed over."""
-        out = cls()
-        for folder, names, files in os.walk(root, onerror=None):
-            names.sort()
-            base = os.path.relpath(folder, root).replace(os.sep, "/")
-            base = "" if base == "." else base
-            names[:] = [n for n in names if not n.startswith(".")]
-            for f in [*names, *files]:
-                if os.path.islink(os.path.join(folder, f)):
-                    out.links.append(f"{base}/{f}" if base else f)
-            for name in _NAMES:
-                if name in files:
-                    with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as lines:
-                        out.rules += [r for r in (rule_to_regex(x, base) for x in lines) if r]
-        return out
+    """The rules of one ignore file over the paths below its folder."""
+
+    rules: Sequence[Rule] = field(default_factory=list)
 
     def ignored(self, path: str) -> bool:
-        verdict = False
-        for pattern, ignores in self.rules:
-            if re.search(pattern, path):
-                verdict = ignores
-        return verdict
+        """Whether a file or a folder above it is ignored."""
+        parts = path.split("/")
+        return any(verdict(self.rules, "/".join(parts[:k]), k < len(parts)) for k in range(1, len(parts) + 1))
 
     def matches(self, path: Column) -> Column:
-        """The same as a column; the rules of a repository are few."""
-        verdict = F.lit(False)
-        for pattern, ignores in self.rules:
-            verdict = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(verdict)
-        return verdict
+        """The same as a column, for the paths of a table."""
+        if not self.rules:
+            return F.lit(False)
+        parts = F.split(path, "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k < F.size(parts)).alias("is_folder")))
+
+        def one(entry: Column) -> Column:
+            hits = [F.when((entry["is_folder"] if r.only_folders else F.lit(True)) & entry["path"].rlike(r.pattern), k).otherwise(-1) for k, r in enumerate(self.rules)]
+            last = F.greatest(F.lit(-1), *hits)
+            return (last >= 0) & F.array(*(F.lit(r.ignores) for r in self.rules))[F.greatest(last, F.lit(0))]
+
+        return F.exists(above, one)
+
+
+def _read(path: str) -> tuple[Rule, ...]:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as lines:
+            return parse_rules(lines)
+    except OSError:
+        return ()
+
+
+class Folder(NamedTuple):
+    """What a local folder says of the entries below it."""
+
+    path: str
+    ignore: tuple[Rule, ...]
+    git: tuple[Rule, ...]
+    exclude: tuple[Rule, ...]
+    is_repository: bool
+
+
+@lru_cache(maxsize=10_000)
+def folder(path: str) -> Folder:
+    at = lambda name: os.path.join(path, name)
+    return Folder(path, _read(at(".ignore")), _read(at(".gitignore")), _read(at(".git/info/exclude")), os.path.exists(at(".git")))
+
+
+def folders_above(path: str) -> tuple[Folder, ...]:
+    """The folders from the top of the file system down to ``path``, which is one of them."""
+    parts = os.path.abspath(path).split("/")[1:]
+    names = ["/"] + ["/" + "/".join(parts[: k + 1]) for k in range(len(parts)) if parts[k]]
+    return tuple(map(folder, names))
+
+
+def is_ignored(above: Sequence[Folder], path: str, is_folder: bool, user: Sequence[Rule] = ()) -> bool | None:
+    """Whether the entry at an absolute path is ignored by the folders above it; null if nothing names it.
+
+    Rules for repositories hold only within one, and only its own.
+    """
+
+    def said(rules: Sequence[Rule], f: Folder) -> bool | None:
+        return verdict(rules, path[len(f.path.rstrip("/")) + 1 :], is_folder) if rules else None
+
+    for f in reversed(above):
+        if (v := said(f.ignore, f)) is not None:
+            return v
+    top = max((k for k, f in enumerate(above) if f.is_repository), default=None)
+    if top is None:
+        return None
+    for f in reversed(above[top:]):
+        if (v := said(f.git, f)) is not None:
+            return v
+    for rules in (above[top].exclude, user):
+        if (v := said(rules, above[top])) is not None:
+            return v
+    return None
+
+
+def user_rules() -> tuple[Rule, ...]:
+    """The rules of the user's own ignore file, if there is one."""
+    try:
+        done = subprocess.run(["git", "config", "--global", "--get", "--type=path", "core.excludesFile"], capture_output=True, check=False)
+        path = done.stdout.decode(errors="replace").strip()
+    except OSError:
+        path = ""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    return _read(path or os.path.join(home, "git", "ignore"))
