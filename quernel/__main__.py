@@ -8,9 +8,12 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Sequence
+import threading
+import time
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators import overlay
@@ -59,31 +62,53 @@ def _commit(path: str) -> str | None:
         return None
 
 
+@contextmanager
+def _progress(spark: SparkSession, shown: bool) -> Iterator[None]:
+    """Says twice a second how far the running stages are."""
+    over = threading.Event()
+
+    def tell() -> None:
+        tracker, began = spark.sparkContext.statusTracker(), time.time()
+        while not over.wait(0.5):
+            stages = [s for s in map(tracker.getStageInfo, tracker.getActiveStageIds()) if s is not None]
+            done, of = sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+            if of:
+                print(f"{time.time() - began:.0f} s: {done} of {of} tasks of the running stages done", file=sys.stderr, flush=True)
+
+    teller = threading.Thread(target=tell, daemon=True)
+    if shown:
+        teller.start()
+    try:
+        yield
+    finally:
+        over.set()
+        if shown:
+            teller.join()
+
+
 def _index(spark: SparkSession, args: argparse.Namespace) -> int:
     config = C.IndexConfig(max_file_size=args.max_file_size)
     roots = [os.path.abspath(p) for p in args.paths]
     base = roots[0] if os.path.isdir(roots[0]) else os.path.dirname(roots[0])
     out = args.output_dir or os.path.join(base, FOLDER)
-    index = build(C.from_directories(spark, roots, config), config)
-    version = index.save(os.path.abspath(out), commit=_commit(base))
-    stats = index.stats().first()
+    with _progress(spark, args.verbose):
+        files = C.listing(spark, roots, config)
+        if args.verbose:
+            found = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+            print(f"{found['n']} files with {found['size'] / 1e6:.1f} MB to index", file=sys.stderr)
+        index = build(C.contents(files), config, files.drop("size"))
+        version = index.save(os.path.abspath(out), commit=_commit(base))
+        stats = index.stats().first()
     if args.verbose:
         print(f"version {version} in {out}", file=sys.stderr)
     print(f"{stats['file_count']} files, {stats['ngram_count']} n-grams", file=sys.stderr)
     return 0
 
 
-def _live(spark: SparkSession, docs: DataFrame, config: C.IndexConfig) -> DataFrame:
-    """The indexed files as they are now; files that are gone are passed over."""
-    roots = [r["root"] for r in docs.select("root").distinct().collect()]  # the roots given on a command line
-    files = C.from_directories(spark, [r for r in roots if os.path.exists(r)], config)
-    return files.select("root", "path", "content").join(docs, ["root", "path"]).select("doc_id", "root", "path", "content")
-
-
 def _search(spark: SparkSession, args: argparse.Namespace) -> int:
     root = os.path.abspath(args.path)
     index = open_index(spark, os.path.abspath(args.index_dir or os.path.join(root, FOLDER)))
-    s = Searcher(_live(spark, index.docs, index.config), index)
+    s = Searcher(None, index, fetch=C.contents)  # candidates are opened as they are now
     options = {"ignore_case": args.ignore_case, "path_filter": args.file_filter}
     if args.fresh and index.commit:
         changes = changes_since(spark, root, index.commit).withColumn("root", F.lit(root))

@@ -97,13 +97,20 @@ class Target:
         found = self.versions()
         return self.spark.read.parquet(*(f"{self.path}/{folder}" for _, folder in found)) if found else None
 
-    def publish(self, rows: DataFrame, expected: int | None = None) -> int:
-        """Commit ``rows`` as the next version; ``expected`` is the latest version the run has read."""
+    def has(self, label: str) -> bool:
+        """Whether a version was published under a label; no rows are read."""
+        return any(folder.split("-")[1:-1] == [label] for _, folder in self.versions())
+
+    def publish(self, rows: DataFrame, expected: int | None = None, label: str | None = None) -> int:
+        """Commit ``rows`` as the next version; ``expected`` is the latest version the run has read.
+
+        A label has no hyphen and is part of the version's name.
+        """
         found = self.versions()
         latest = found[-1][0] if found else 0
         if expected is not None and expected != latest:
             raise FileExistsError(f"version {latest} was published since version {expected} was read")
-        folder = f"v{latest + 1:09d}-{uuid.uuid4().hex}"
+        folder = "-".join([f"v{latest + 1:09d}", *([label] if label else []), uuid.uuid4().hex])
         rows.write.parquet(f"{self.path}/{folder}")
         if expected is not None and (now := self.versions()) and now[-1][0] != expected:
             raise FileExistsError(f"version {now[-1][0]} was published while version {expected + 1} was written")

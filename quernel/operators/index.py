@@ -1,4 +1,8 @@
-"""The inverted index: n-gram hash to documents, built, stored, opened and merged as tables."""
+"""The inverted index: n-gram hash to documents, built, stored, opened and refreshed as tables.
+
+A stored index is a list of segments. A refresh adds a segment of the new documents and a table of
+the ids that are gone; both cost what has changed, not what there is. ``compact`` makes one segment.
+"""
 
 from __future__ import annotations
 
@@ -15,11 +19,13 @@ from quernel.operators.incremental import Versions
 from quernel.runtime import estimated_bytes, parallelism, spread, stored
 from quernel.sources.corpus import IndexConfig
 
-FORMAT = 1
+FORMAT = 2
 #: Bytes of text whose n-grams make one bucket of hashes; one task builds a bucket's lists.
 BUCKET_BYTES = 8 << 20
 _POSTINGS = "ngram_hash long, chunk long, n_docs int, doc_ids array<long>"
 #: Sorted hashes and ids are stored as differences.
+#: Stored texts are read by ranges of ids: a page has few rows, so that others are passed over.
+_PAGES = {"compression": "zstd", "parquet.page.row.count.limit": "256", "parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
 _DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
@@ -31,40 +37,87 @@ def index_entries(corpus: DataFrame, config: IndexConfig = IndexConfig(), distin
 
 @dataclass
 class Index:
-    """``postings`` (ngram_hash, chunk, n_docs, doc_ids), ``docs`` (doc_id, root, path), ``terms`` (ngram_hash, df)."""
+    """``postings`` (ngram_hash, chunk, n_docs, doc_ids), ``docs`` (doc_id, root, path), ``terms`` (ngram_hash, df).
+
+    ``stale`` (doc_id) are documents that postings and terms still know, but docs do not. ``texts``
+    (doc_id, root, path, content) are the documents, if they were stored with the index.
+    """
 
     config: IndexConfig
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     commit: str | None = None
+    stale: DataFrame | None = None
+    texts: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         """One row: file_count, ngram_count (distinct hashes), posting_count (hash and document pairs)."""
         files = self.docs.agg(F.count(F.lit(1)).alias("file_count"))
-        grams = self.terms.agg(F.count(F.lit(1)).alias("ngram_count"), F.coalesce(F.sum("df"), F.lit(0)).alias("posting_count"))
+        terms = self.terms if self.stale is None else P.document_frequency(_packed(self))
+        grams = terms.agg(F.countDistinct("ngram_hash").alias("ngram_count"), F.coalesce(F.sum("df"), F.lit(0)).alias("posting_count"))
         return files.join(F.broadcast(grams))  # one row each
 
+    def live(self, ids: DataFrame) -> DataFrame:
+        """``ids`` (doc_id) without those that are gone."""
+        return ids if self.stale is None else ids.join(self.stale, "doc_id", "left_anti")
+
     def lookup(self, ngram_hash: int) -> DataFrame:
         """The documents of one hash; the filter reaches the scan, which skips by row group."""
-        return P.unpack(self.postings.where(F.col("ngram_hash") == ngram_hash)).select("doc_id")
+        return self.live(P.unpack(self.postings.where(F.col("ngram_hash") == ngram_hash)).select("doc_id"))
 
     def frequencies(self, hashes: frozenset[int]) -> dict[int, int]:
-        """Document frequency of each of a pattern's few hashes."""
-        if not hashes:
-            return {}
-        return {r["ngram_hash"]: r["df"] for r in self.terms.where(F.col("ngram_hash").isin(sorted(hashes))).collect()}
-
-    def save(self, path: str, commit: str | None = None) -> int:
-        """Write the index as the next version below ``path``; readers see it whole or not at all."""
-        spark = self.postings.sparkSession
-        folder = f"index-{uuid.uuid4().hex}"
-        self.postings.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash", "chunk").write.options(**_DELTAS).parquet(f"{path}/{folder}/postings")
-        self.terms.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash").write.options(**_DELTAS).parquet(f"{path}/{folder}/terms")
-        self.docs.write.parquet(f"{path}/{folder}/docs")
-        meta = {"format": FORMAT, "commit": (commit or self.commit or "").strip() or None, "config": asdict(self.config)}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/{folder}/meta")
-        return Versions(spark, path).commit(folder)
+        """In how many documents, gone ones included, each of a pattern's few hashes is."""
+        out: dict[int, int] = {}
+        if hashes:
+            for r in self.terms.where(F.col("ngram_hash").isin(sorted(hashes))).collect():  # a row per hash and segment
+                out[r["ngram_hash"]] = out.get(r["ngram_hash"], 0) + r["df"]
+        return out
+
+    def save(self, path: str, commit: str | None = None, texts: DataFrame | None = None) -> int:
+        """Write the index as the next version below ``path``; readers see it whole or not at all.
+
+        With ``texts``, the corpus, the documents are stored too, so that a search reads no more
+        of them than the pages that hold candidates.
+        """
+        whole = compact(self) if self.stale is not None else self
+        return _publish(self.postings.sparkSession, path, whole, [], commit or self.commit, None, texts)
+
+
+def _publish(spark: SparkSession, path: str, part: Index, before: list[str], commit: str | None, stale: DataFrame | None, texts: DataFrame | None) -> int:
+    """Writes a segment, and commits the version that it makes with those before it."""
+    folder = f"index-{uuid.uuid4().hex}"
+    part.postings.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash", "chunk").write.options(**_DELTAS).parquet(f"{path}/{folder}/postings")
+    part.terms.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash").write.options(**_DELTAS).parquet(f"{path}/{folder}/terms")
+    part.docs.write.parquet(f"{path}/{folder}/docs")
+    if stale is not None:
+        stale.select("doc_id").write.parquet(f"{path}/{folder}/stale")
+    if texts is not None:
+        texts.select("doc_id", "root", "path", "content").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.options(**_PAGES).parquet(f"{path}/{folder}/texts")
+    meta = {"format": FORMAT, "commit": (commit or "").strip() or None, "config": asdict(part.config), "segments": [*before, folder], "stale": stale is not None, "texts": texts is not None}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/{folder}/meta")
+    return Versions(spark, path).commit(folder)
+
+
+def _meta(spark: SparkSession, at: str) -> dict:
+    return json.loads(spark.read.parquet(f"{at}/meta").first()["meta"])
+
+
+def append(spark: SparkSession, path: str, delta: Index, stale: DataFrame, commit: str | None = None, texts: DataFrame | None = None) -> int:
+    """The next version below ``path``: the latest one, without the documents of ``stale`` (doc_id), plus ``delta``.
+
+    Nothing of the earlier segments is read or written. ``texts`` holds the documents of ``delta`` and
+    is needed where the index has texts.
+    """
+    found = Versions(spark, path).list()
+    if not found:
+        raise FileNotFoundError(f"no index below {path}")
+    meta = _meta(spark, f"{path}/{found[-1][1]}")
+    if IndexConfig(**meta["config"]) != delta.config:
+        raise ValueError("indexes of different configurations can't be merged")
+    if meta["texts"] and texts is None:
+        raise ValueError("the index has texts; give those of the new documents")
+    return _publish(spark, path, delta, meta["segments"], commit or delta.commit or meta["commit"], stale, texts if meta["texts"] else None)
 
 
 def index_postings(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
@@ -76,13 +129,14 @@ def index_postings(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> Da
     return packed.repartition(max(parallelism(corpus.sparkSession), (1 << bits) // 4), "bucket", "span").sortWithinPartitions("bucket", "span").mapInArrow(unpack_lists(P.CHUNK.bit_length() - 1), _POSTINGS)
 
 
-def build(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> Index:
+def build(corpus: DataFrame, config: IndexConfig = IndexConfig(), docs: DataFrame | None = None) -> Index:
     """The index of a corpus (doc_id, root, path, content). Repeated rows of a document count once.
 
-    The postings are computed once, into the shared folder.
+    The postings are computed once, into the shared folder. ``docs`` (doc_id, root, path) spares a
+    second look at the corpus where its documents are listed already.
     """
     packed = stored(index_postings(corpus, config), "postings")
-    docs = corpus.select("doc_id", "root", "path").distinct()
+    docs = corpus.select("doc_id", "root", "path").distinct() if docs is None else docs
     return Index(config, packed, docs, P.document_frequency(packed))
 
 
@@ -91,21 +145,38 @@ def open_index(spark: SparkSession, path: str) -> Index:
     found = Versions(spark, path).list()
     if not found:
         raise FileNotFoundError(f"no index below {path}")
-    at = f"{path}/{found[-1][1]}"
-    meta = json.loads(spark.read.parquet(f"{at}/meta").first()["meta"])
+    meta = _meta(spark, f"{path}/{found[-1][1]}")
     if meta["format"] != FORMAT:
         raise ValueError(f"index format {meta['format']} is not {FORMAT}")
-    read = lambda name: spark.read.parquet(f"{at}/{name}")
-    return Index(IndexConfig(**meta["config"]), read("postings"), read("docs"), read("terms"), meta["commit"])
+    segments = [f"{path}/{s}" for s in meta["segments"]]
+    read = lambda name, some=segments: spark.read.option("mergeSchema", name == "docs").parquet(*(f"{s}/{name}" for s in some))
+    stale = read("stale", segments[1:]) if len(segments) > 1 else None
+    docs, texts = read("docs"), read("texts") if meta["texts"] else None
+    if stale is not None:
+        docs, texts = (x and x.join(stale, "doc_id", "left_anti") for x in (docs, texts))
+    return Index(IndexConfig(**meta["config"]), read("postings"), docs, read("terms"), meta["commit"], stale, texts)
+
+
+def _packed(index: Index) -> DataFrame:
+    kept = P.unpack(index.postings)
+    return P.pack(kept if index.stale is None else kept.join(index.stale, "doc_id", "left_anti"))
+
+
+def compact(index: Index) -> Index:
+    """The same index as one segment that knows nothing of documents that are gone."""
+    packed = stored(_packed(index), "postings")
+    return Index(index.config, packed, index.docs, P.document_frequency(packed), index.commit, None, index.texts)
 
 
 def merge(base: Index, delta: Index, stale: DataFrame | None = None) -> Index:
-    """``base`` without the documents of ``stale`` (doc_id), plus ``delta``; both have one configuration."""
+    """``base`` without the documents of ``stale`` (doc_id), plus ``delta``; both have one configuration.
+
+    The postings of both stand side by side: nothing is shuffled but ids against those that are gone.
+    """
     if base.config != delta.config:
         raise ValueError("indexes of different configurations can't be merged")
-    kept, docs = P.unpack(base.postings), base.docs
+    gone, docs = base.stale, base.docs
     if stale is not None:
-        kept = kept.join(stale.select("doc_id"), "doc_id", "left_anti")
+        gone = stale.select("doc_id") if gone is None else gone.unionByName(stale.select("doc_id"))
         docs = docs.join(stale.select("doc_id"), "doc_id", "left_anti")
-    packed = P.pack(kept.unionByName(P.unpack(delta.postings)))
-    return Index(base.config, packed, docs.unionByName(delta.docs).distinct(), P.document_frequency(packed), delta.commit or base.commit)
+    return Index(base.config, base.postings.unionByName(delta.postings), docs.unionByName(delta.docs, allowMissingColumns=True), base.terms.unionByName(delta.terms), delta.commit or base.commit, gone)

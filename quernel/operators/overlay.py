@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.index import Index, build, merge
+from quernel.operators.index import Index, append, build, merge, open_index
 from quernel.operators.search import Searcher
+from quernel.runtime import stored
 
 
 def detect_changes(before: DataFrame, after: DataFrame, content: str = "content") -> DataFrame:
@@ -27,19 +28,33 @@ def drop_stale(results: DataFrame, docs: DataFrame, changes: DataFrame) -> DataF
     return results.join(stale, "doc_id", "left_anti")
 
 
+def _delta(index: Index, corpus: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids that are gone, documents to be indexed)."""
+    gone = changes.where(F.col("status").isin("modified", "deleted")).select("root", "path")
+    stale = index.docs.join(gone, ["root", "path"], "left_semi").select("doc_id")
+    fresh = corpus.join(changes.where(F.col("status").isin("modified", "new")).select("root", "path"), ["root", "path"], "left_semi")
+    return stale, fresh.select("doc_id", "root", "path", "content")
+
+
 def refresh(index: Index, corpus: DataFrame, changes: DataFrame) -> Index:
     """The index brought up to date: stale documents leave, modified and new ones of ``corpus`` are indexed.
 
-    Only changed documents are tokenised. The ids in ``corpus`` of changed files must be new ones.
+    Only changed documents are tokenised, and the postings of others are left where they are. The
+    ids in ``corpus`` of changed files must be new ones.
     """
-    gone = changes.where(F.col("status").isin("modified", "deleted")).select("root", "path")
-    stale = index.docs.join(gone, ["root", "path"], "left_semi").select("doc_id")
-    fresh = corpus.join(changes.where(F.col("status").isin("modified", "new")).select("root", "path"), ["root", "path"], "left_semi")
-    return merge(index, build(fresh.select("doc_id", "root", "path", "content"), index.config), stale)
+    stale, fresh = _delta(index, corpus, changes)
+    return merge(index, build(fresh, index.config), stored(stale, "stale"))
+
+
+def refresh_stored(spark: SparkSession, path: str, corpus: DataFrame, changes: DataFrame, commit: str | None = None) -> int:
+    """``refresh`` of the latest version below ``path``, stored as its next one by a segment of the changes alone."""
+    index = open_index(spark, path)
+    stale, fresh = _delta(index, corpus, changes)
+    return append(spark, path, build(fresh, index.config), stale, commit, fresh)
 
 
 def search_with_overlay(base: Searcher, current: DataFrame, changes: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """Matching lines of the current state: the base's without stale files, plus those of changed files."""
-    old = drop_stale(base.lines(pattern, ignore_case), base.corpus.select("doc_id", "root", "path"), changes)
+    old = drop_stale(base.lines(pattern, ignore_case), base.docs.select("doc_id", "root", "path"), changes)
     fresh = current.join(changes.where(F.col("status").isin("modified", "new")).select("root", "path"), ["root", "path"], "left_semi")
     return old.unionByName(Searcher(fresh).lines(pattern, ignore_case))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from enum import Enum
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from quernel.plans.syntax import Alternation, Char, Concat, Dot, Empty, Group, L
 
 #: A class with at most so many members is a choice between them; a larger one says nothing.
 MAX_MEMBERS = 10
+#: So many ids of a list are read as fast as one document is verified.
+WORTH = 64
 
 
 class Op(Enum):
@@ -159,12 +162,14 @@ def plan(pattern: str, ignore_case: bool = False, longest: int = MAX_LENGTH) ->
 
 
 def prune(q: Query, df: dict[int, int], keep: int = 8) -> Query:
-    """Leave out of each conjunction all hashes but the ``keep`` rarest; still sound."""
+    """Leave out of each conjunction all hashes but the ``keep`` rarest, and of these the ones that
+    are so much more frequent that reading their lists costs more than what they rule out; still sound."""
     children = tuple(prune(c, df, keep) for c in q.children)
     if q.op is not Op.AND:
         return Query(q.op, q.hashes, children)
     rarest = sorted(q.hashes, key=lambda h: (df.get(h, 0), h))[:keep]
-    return Query(q.op, frozenset(rarest), children)
+    most = WORTH * (df.get(rarest[0], 0) + WORTH) if rarest else 0
+    return Query(q.op, frozenset(h for h in rarest if df.get(h, 0) <= most), children)
 
 
 def bound(q: Query, df: dict[int, int], n_docs: int) -> int:
@@ -183,3 +188,12 @@ def condition(q: Query, held: dict[int, Column]) -> Column:
         return F.lit(q.op is Op.ALL)
     parts = [held[h] for h in sorted(q.hashes)] + [condition(c, held) for c in q.children]
     return reduce((lambda a, b: a & b) if q.op is Op.AND else (lambda a, b: a | b), parts)
+
+
+def solve(q: Query, lists: dict[int, np.ndarray]) -> np.ndarray:
+    """The query over the sorted lists of its leaves; a hash without one is in no document."""
+    none = np.zeros(0, np.int64)
+    parts = [lists.get(h, none) for h in sorted(q.hashes)] + [solve(c, lists) for c in q.children]
+    if q.op is Op.AND:
+        return reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sorted(parts, key=len))
+    return reduce(np.union1d, parts, none) if q.op is Op.OR else none

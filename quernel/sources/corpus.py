@@ -68,14 +68,14 @@ def from_table(df: DataFrame, doc_id: str, path: Column | str, content: str, roo
     return df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), root.cast("string").alias("root"), path.alias("path"), F.coalesce(body, F.lit(b"")).alias("content"))
 
 
-def from_directories(spark: SparkSession, roots: Iterable[str], config: IndexConfig = IndexConfig()) -> DataFrame:
-    """A corpus of the files below the roots; paths are relative to their own root.
+def listing(spark: SparkSession, roots: Iterable[str], config: IndexConfig = IndexConfig()) -> DataFrame:
+    """(doc_id, root, path, location, size) of the files below the roots; paths are relative to their own root.
 
     Hidden files, files that ignore files name, links and what lies below linked folders, files
     above the size limit and binary files are left out, whatever else they are called. Ids follow
-    the order of roots and paths. A root that is a file is one file named by its base name. The
-    listing is made now, by the tasks; contents are read whenever the corpus is, and are null for
-    files that cannot be read any more.
+    the order of roots and paths. A root that is a file is one file named by its base name.
+    ``location`` is a path's bytes, of which ``path`` may be no faithful text. The tasks list the
+    trees, once; the result is stored.
     """
     roots = list(roots)
     if not roots:
@@ -86,8 +86,26 @@ def from_directories(spark: SparkSession, roots: Iterable[str], config: IndexCon
         t = walk.tree(root, user)
         parts += [(n, root, b"", False)] if t.is_file() else [(n, root, at, deep) for at, deep in walk.subtrees(t)]
     work = spark.createDataFrame(parts, "n int, root string, at binary, deep boolean").repartition(min(len(parts), 8 * parallelism(spark)))
-    listing = work.mapInArrow(walk.lister(config.max_file_size, BINARY_WINDOW if config.skip_binary else 0, user), "n int, root string, path string, location binary, size long")
-    dense = stored(numbered(listing.orderBy("n", path_order(F.col("path")), "location"), "doc_id", "paths"), "listing")
-    total = dense.agg(F.sum("size")).first()[0] or 0
-    tasks = max(1, min(total // FILE_BYTES, 100_000), min(parallelism(spark), total // SMALL_BYTES))
-    return dense.select("doc_id", "root", "path", "location").repartitionByRange(int(tasks), "doc_id").mapInArrow(walk.read_contents, "doc_id long, root string, path string, content binary")
+    found = work.mapInArrow(walk.lister(config.max_file_size, BINARY_WINDOW if config.skip_binary else 0, user), "n int, root string, path string, location binary, size long")
+    dense = numbered(found.orderBy("n", path_order(F.col("path")), "location"), "doc_id", "paths")
+    return stored(dense.select("doc_id", "root", "path", "location", "size"), "listing")
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    """(doc_id, root, path, content) of listed documents (doc_id, root, path, maybe location), opened when the result is read.
+
+    Only names are shuffled. Contents that cannot be read any more are null.
+    """
+    spark = docs.sparkSession
+    location = F.col("location") if "location" in docs.columns else F.encode("path", "UTF-8")
+    if "size" in docs.columns:  # a whole listing: equal shares of bytes, ids in order
+        total = docs.agg(F.sum("size")).first()[0] or 0
+        docs = docs.repartitionByRange(int(max(1, min(total // FILE_BYTES, 100_000), min(parallelism(spark), total // SMALL_BYTES))), "doc_id")
+    else:
+        docs = docs.repartition(parallelism(spark), "doc_id")
+    return docs.select("doc_id", "root", "path", location.alias("location")).mapInArrow(walk.read_contents, "doc_id long, root string, path string, content binary")
+
+
+def from_directories(spark: SparkSession, roots: Iterable[str], config: IndexConfig = IndexConfig()) -> DataFrame:
+    """A corpus of the files below the roots, as ``listing`` finds them."""
+    return contents(listing(spark, roots, config))

@@ -179,15 +179,17 @@ def _rows(n: int, root: str, held: list[tuple[str, int | None]]) -> pa.RecordBat
 
 def read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow operator from (doc_id, root, path, location) to (doc_id, root, path, content); null if unreadable."""
-    trees: dict[str, Local | Remote] = {}
+    trees: dict[str, tuple[Local | Remote, bool]] = {}
     for b in batches:
         held: list[bytes | None] = []
         n, start = 0, 0
         roots, places = b.column("root").to_pylist(), b.column("location").to_pylist()
         for k, (root, place) in enumerate(zip(roots, places)):
             if root not in trees:
-                trees[root] = tree(root)
-            held.append(trees[root].read(os.fsdecode(place)))
+                t = tree(root)
+                trees[root] = t, t.is_file()
+            t, alone = trees[root]
+            held.append(t.read("" if alone else os.fsdecode(place)))
             n += len(held[-1] or b"")
             if n >= BATCH_BYTES or k + 1 == len(roots):
                 part = b.slice(start, len(held))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quernel.operators.incremental import Target
@@ -14,22 +13,19 @@ from quernel.sources.corpus import IndexConfig
 def index_stream(documents: DataFrame, path: str, checkpoint: str, config: IndexConfig = IndexConfig()) -> StreamingQuery:
     """Index a stream (doc_id, content) into the versioned table of entries at ``path``.
 
-    Each version carries its micro-batch's number; a batch that is run again after a failure finds
-    its number among the committed ones and is passed over, so every batch is indexed exactly once.
+    Each version's name carries its micro-batch's number; a batch that is run again after a failure
+    finds its number among the committed ones and is passed over, so every batch is indexed exactly once.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         target = Target(batch.sparkSession, path)
-        have = target.read()
-        if have is not None and not have.where(F.col("batch") == number).isEmpty():
-            return
-        entries = index_entries(batch, config).withColumn("batch", F.lit(number).cast("long"))
-        marker = batch.sparkSession.createDataFrame([(None, None, number)], "ngram_hash long, doc_id long, batch long")
-        target.publish(entries.unionByName(marker))
+        if not target.has(f"batch{number}"):
+            target.publish(index_entries(batch, config), label=f"batch{number}")
 
     return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def indexed_entries(spark, path: str) -> DataFrame:
     """(ngram_hash, doc_id) of all committed batches."""
-    return Target(spark, path).read().where("ngram_hash is not null").select("ngram_hash", "doc_id")
+    rows = Target(spark, path).read()
+    return spark.createDataFrame([], "ngram_hash long, doc_id long") if rows is None else rows.select("ngram_hash", "doc_id")
