@@ -39,6 +39,11 @@ def trigram_entries(df: DataFrame, key: str, data: str) -> DataFrame:
     return rows.mapInArrow(run, "trigram long, key long, n long").withColumnRenamed("key", key)
 
 
+def trigram_hash(trigram: Column) -> Column:
+    """CRC-32 of a trigram's bytes."""
+    return F.crc32(trigram)
+
+
 def byte_hash(data: Column, at: Column) -> Column:
     """Low eight bits of the CRC-32 of the byte at the 1-based position."""
     return F.crc32(F.substring(data, at, F.lit(1))).bitwiseAND(F.lit(255))

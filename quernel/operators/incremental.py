@@ -148,13 +148,18 @@ def last_success(runs: DataFrame, group: str, started: str, ok: Column) -> DataF
 
 
 def replay(spark: SparkSession, changes: DataFrame, runs: DataFrame, path: str, key: str, group: str, at: str, started: str, ok: Column) -> Target:
-    """Rebuild the target that the successful runs so far have left.
+    """Rebuild the target that the successful runs so far have left, from a log of runs that is taken over.
 
-    A change belongs to it if it was first recorded no later than the start of the last
-    successful run of its group. Used where an existing log of runs is taken over.
+    A change was processed by the first successful run of its group that started no earlier than
+    it was first recorded; each row says by which (``run_started``), and a change that no run was
+    late enough for has no row. Failed runs have left nothing. From then on the target alone is
+    the state.
     """
     target = Target(spark, path)
-    seen = last_success(runs, group, started, ok).withColumnRenamed(group, "run_group").withColumnRenamed(started, "run_started")
-    done = changes.join(seen, (changes[group] == seen["run_group"]) & (changes[at] <= seen["run_started"]), "left_semi")
-    target.publish(done.select(F.col(key).alias(KEY), F.col(at).alias(VERSION)))
+    good = runs.where(ok & F.col(group).isNotNull() & F.col(started).isNotNull())
+    starts = good.groupBy(F.col(group).alias("run_group")).agg(F.array_sort(F.collect_set(started)).alias("starts"))
+    placed = changes.join(starts, changes[group] == starts["run_group"])
+    first = F.get(F.filter("starts", lambda s: s >= F.col(at)), F.lit(0))
+    done = placed.select(F.col(key).alias(KEY), F.col(at).alias(VERSION), first.alias("run_started")).where("run_started is not null")
+    target.publish(done)
     return target
