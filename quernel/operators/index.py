@@ -22,6 +22,8 @@ from quernel.sources.corpus import IndexConfig
 FORMAT = 2
 #: Bytes of text whose n-grams make one bucket of hashes; one task builds a bucket's lists.
 BUCKET_BYTES = 8 << 20
+#: Buckets are this many bits of a hash at most; a task holds one span of ids of one bucket at a time.
+MAX_BITS = 16
 _POSTINGS = "ngram_hash long, chunk long, n_docs int, doc_ids array<long>"
 #: Sorted hashes and ids are stored as differences.
 #: Stored texts are read by ranges of ids: a page has few rows, so that others are passed over.
@@ -50,6 +52,8 @@ class Index:
     commit: str | None = None
     stale: DataFrame | None = None
     texts: DataFrame | None = None
+    #: Whether the partitions of the postings are ranges of hashes.
+    ordered: bool = False
 
     def stats(self) -> DataFrame:
         """One row: file_count, ngram_count (distinct hashes), posting_count (hash and document pairs)."""
@@ -87,7 +91,8 @@ class Index:
 def _publish(spark: SparkSession, path: str, part: Index, before: list[str], commit: str | None, stale: DataFrame | None, texts: DataFrame | None) -> int:
     """Writes a segment, and commits the version that it makes with those before it."""
     folder = f"index-{uuid.uuid4().hex}"
-    part.postings.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash", "chunk").write.options(**_DELTAS).parquet(f"{path}/{folder}/postings")
+    ranges = part.postings if part.ordered else part.postings.repartitionByRange("ngram_hash")
+    ranges.sortWithinPartitions("ngram_hash", "chunk").write.options(**_DELTAS).parquet(f"{path}/{folder}/postings")
     part.terms.repartitionByRange("ngram_hash").sortWithinPartitions("ngram_hash").write.options(**_DELTAS).parquet(f"{path}/{folder}/terms")
     part.docs.write.parquet(f"{path}/{folder}/docs")
     if stale is not None:
@@ -121,12 +126,17 @@ def append(spark: SparkSession, path: str, delta: Index, stale: DataFrame, commi
 
 
 def index_postings(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
-    """(ngram_hash, chunk, n_docs, doc_ids): what ``pack`` makes of the entries, without a row for each."""
+    """(ngram_hash, chunk, n_docs, doc_ids): what ``pack`` makes of the entries, without a row for each.
+
+    The partitions are ranges of hashes in their order.
+    """
     n = max(4 * parallelism(corpus.sparkSession), estimated_bytes(corpus) // BUCKET_BYTES)
-    bits = min(16, max(1, int(n - 1).bit_length()))
+    bits = min(MAX_BITS, max(1, int(n - 1).bit_length()))
     rows = spread(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "content"))
     packed = rows.mapInArrow(tokenise_packed(bits, config.max_ngram_length), "bucket long, span long, data binary")
-    return packed.repartition(max(parallelism(corpus.sparkSession), (1 << bits) // 4), "bucket", "span").sortWithinPartitions("bucket", "span").mapInArrow(unpack_lists(P.CHUNK.bit_length() - 1), _POSTINGS)
+    parts = min(1 << bits, max(parallelism(corpus.sparkSession), (1 << bits) // 4))
+    placed = packed.repartitionById(parts, F.floor(F.col("bucket") * parts / (1 << bits)).cast("int"))
+    return placed.sortWithinPartitions("bucket", "span").mapInArrow(unpack_lists(P.CHUNK.bit_length() - 1), _POSTINGS)
 
 
 def build(corpus: DataFrame, config: IndexConfig = IndexConfig(), docs: DataFrame | None = None) -> Index:
@@ -135,9 +145,9 @@ def build(corpus: DataFrame, config: IndexConfig = IndexConfig(), docs: DataFram
     The postings are computed once, into the shared folder. ``docs`` (doc_id, root, path) spares a
     second look at the corpus where its documents are listed already.
     """
-    packed = stored(index_postings(corpus, config), "postings")
+    packed = stored(index_postings(corpus, config), "postings", **_DELTAS)
     docs = corpus.select("doc_id", "root", "path").distinct() if docs is None else docs
-    return Index(config, packed, docs, P.document_frequency(packed))
+    return Index(config, packed, docs, P.document_frequency(packed), ordered=True)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.ngrams import sorted_distinct
 from quernel.operators.index import Index
 from quernel.plans.java import to_java
 from quernel.plans.query import NONE, Op, Query, bound, condition, plan, prune, solve
@@ -22,7 +23,7 @@ KEEP = 8
 #: Postings of a pattern up to which the driver evaluates it (8 MB of ids).
 LOCAL_POSTINGS = 1_000_000
 #: Candidates that become a list in the filter of the scan; more are broadcast.
-LISTED_IDS = 1_000
+LISTED_IDS = 5_000
 #: Ranges of ids that the filter of the scan is given besides.
 RANGES = 32
 #: Candidates that the tasks found are broadcast up to so many (64 MB as a table of hashes).
@@ -67,14 +68,20 @@ class Searcher:
             self._n_docs = self.index.docs.count() if self.index is not None else self.corpus.count()
         return self._n_docs
 
-    def _planned(self, pattern: str, ignore_case: bool, may_scan: bool = True) -> tuple[Query, dict[int, int]]:
+    def _planned(self, pattern: str, ignore_case: bool, may_scan: bool = True) -> tuple[Query, dict[int, int], dict[int, np.ndarray] | None]:
+        """The query, the document frequencies of its hashes and, where documents are few, their lists."""
         q = plan(pattern, ignore_case, self.index.config.max_ngram_length)
         if not q.leaves():
-            return q, {}
-        df = self.index.frequencies(q.leaves())
+            return q, {}, None
+        lists = None
+        if len(q.leaves()) * self.n_docs() <= LOCAL_POSTINGS and self.index.stale is None:
+            lists = self._read(q)  # no list can be long
+            df = {h: len(ids) for h, ids in lists.items()}
+        else:
+            df = self.index.frequencies(q.leaves())
         q = prune(q, df, KEEP)
         most = bound(q, df, self.n_docs())
-        return NONE if most == 0 else Query(Op.ALL) if may_scan and most > SCAN_SHARE * self.n_docs() else q, df
+        return NONE if most == 0 else Query(Op.ALL) if may_scan and most > SCAN_SHARE * self.n_docs() else q, df, lists
 
     def plan(self, pattern: str, ignore_case: bool = False) -> Query:
         """The query that will be asked of the index, with only the rarest hashes of conjunctions."""
@@ -94,20 +101,20 @@ class Searcher:
         """(doc_id) of every document that may have a matching line."""
         return self.evaluate(self._planned(pattern, ignore_case, not use_index)[0])
 
-    def _ids(self, q: Query) -> np.ndarray:
-        """Sorted ids of the documents that satisfy a query with few postings, by set algebra on its lists."""
+    def _read(self, q: Query) -> dict[int, np.ndarray]:
+        """The sorted lists of a query's hashes, which together have at most ``LOCAL_POSTINGS`` postings."""
         lists: dict[int, list[np.ndarray]] = {}
         found = self.index.postings.where(F.col("ngram_hash").isin(sorted(q.leaves()))).select("ngram_hash", "doc_ids").toArrow()
         for h, ids in zip(found.column("ngram_hash").to_pylist(), (x for c in found.column("doc_ids").chunks for x in c)):
             lists.setdefault(h, []).append(ids.values.to_numpy(zero_copy_only=False))
-        return solve(q, {h: np.unique(np.concatenate(x)) for h, x in lists.items()})
+        return {h: sorted_distinct(np.concatenate(x)) for h, x in lists.items()}
 
-    def _chosen(self, docs: DataFrame, q: Query, df: dict[int, int]) -> DataFrame:
+    def _chosen(self, docs: DataFrame, q: Query, df: dict[int, int], lists: dict[int, np.ndarray] | None) -> DataFrame:
         """The rows of ``docs`` that satisfy a query; they are not shuffled unless there are very many."""
-        if sum(df.get(h, 0) for h in q.leaves()) > LOCAL_POSTINGS:
+        if lists is None and sum(df.get(h, 0) for h in q.leaves()) > LOCAL_POSTINGS:
             found = self.evaluate(q)
             return docs.join(F.broadcast(found) if bound(q, df, self.n_docs()) <= BROADCAST_IDS else found, "doc_id", "left_semi")
-        ids = self._ids(q)
+        ids = solve(q, self._read(q) if lists is None else lists)
         if not len(ids):
             return docs.where("false")
         near = docs.where(id_ranges(ids))
@@ -119,9 +126,9 @@ class Searcher:
         docs = self.docs
         if path_filter is not None:  # below the verification and, as a filter of one side, below the join
             docs = docs.where(F.col("path").rlike(to_java(path_filter)))
-        q, df = (Query(Op.ALL), {}) if self.index is None or use_index is False else self._planned(pattern, ignore_case, not use_index)
+        q, df, lists = (Query(Op.ALL), {}, None) if self.index is None or use_index is False else self._planned(pattern, ignore_case, not use_index)
         if q.leaves():
-            docs = self._chosen(docs, q, df)
+            docs = self._chosen(docs, q, df, lists)
         elif q.op is Op.NONE or q.op is Op.OR:
             docs = docs.where("false")
         else:
