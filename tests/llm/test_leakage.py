@@ -33,8 +33,10 @@ def test_words():
 def test_automaton_finds_what_brute_force_finds(texts, doc, least):
     items = list(enumerate(texts))
     a = L.Automaton(items, least)
-    got = {(0, i) for _, _, _, _, found in L._matches(a, [doc]) for i in found}
-    assert got == brute([(0, doc)], items, least)
+    gate = L.Gate(22).add(L.Gate.pairs(texts))
+    points, _ = L.code_points([doc])
+    got = {(0, i) for x, y in gate.stretches(points, least) for _, _, found in a.matches(doc[x:y]) for i in found}
+    assert got == brute([(0, doc)], items, least) == {(0, i) for _, _, found in a.matches(doc) for i in found}
 
 
 def corpus(seed=0):
@@ -85,6 +87,29 @@ def test_removal(table, block):
     assert got["b"]["text"] == "x " * 100 + " y " * 50 and not got["b"]["dropped"] and set(got) == {"a", "b"}
 
 
+def test_many_blocks_are_built_once_each(table, monkeypatch):
+    docs, items = corpus(3)
+    it = table([(f"item-{i}", t) for i, t in items if i is not None], "item string, text string", files=2)
+    wanted = L.TestItems(it, "item", "text", 12, 100)
+    assert wanted.n_blocks >= 6 and wanted.built.count() == len(wanted.automata) >= 6
+    n = wanted.built.selectExpr("sum(n_items)").first()[0]
+    assert n == len({i for i, t in items if i is not None and t is not None})
+    df = table(docs, "id long, body string", files=2)
+    got = {(r["doc"], r["item"]) for r in L.find_leaks(df, "id", "body", it, "item", "text", block_words=100).collect()}
+    assert got == {(d, f"item-{i}") for d, i in brute(docs, items, 12)}
+    whole = {r["doc"]: r["text"] for r in L.remove_leaks(df, "id", "body", it, "item", "text").collect()}
+    assert whole == {r["doc"]: r["text"] for r in L.remove_leaks(df, "id", "body", it, "item", "text", block_words=100).collect()} and len(whole) > 5
+
+
+def test_large_gate(monkeypatch):
+    monkeypatch.setattr(L, "PART_BITS", 4)
+    some = ["a b c d e f", "f e d c b a x"]
+    parts = list(L._slots(24)(iter([L.pa.RecordBatch.from_arrays([L.pa.array(some)], names=["text"])])))
+    at = {(p << 4) + int(o) for b in parts for p, d in zip(b.column("part").to_pylist(), b.column("data").to_pylist()) for o in L.np.frombuffer(d, "<u4")}
+    table = L.Gate(24).add(L.Gate.pairs(some)).table
+    assert at == set(L.np.flatnonzero(L.np.unpackbits(table, bitorder="little")).tolist()) and len(at) == 11
+
+
 def test_empty(table):
     none, items = table([], "doc long, text string"), table([], "item long, text string")
     some = table([(1, "a b c")], "doc long, text string")
