@@ -11,7 +11,7 @@ CODE = "import os\n\n\ndef run(a, b=3):\n    for x in range(a):\n        if x >
         ("a/b.py", CODE, None), ("a/b.py", "# Code generated by protoc-x 1.2. DO NOT EDIT.\n" + CODE, "generated"), ("a/b.py", 'HEADER = "Code generated by {}. DO NOT EDIT."\n' + CODE, None), ("a/b.go", "// @generated by tool\n" + CODE, "generated"),
         ("a/b.ts", "/* This file was produced automatically by xgen; changes will be lost. */\nlet a = 1;\n", "generated"), ("a/b.c", "// Diese Datei wurde automatisch aus x.idl erzeugt.\nint a;\n", "generated"), ("a/b.py", "# values generated by x are clipped to 3\n" + CODE, None),
         ("a/b.rs", "// machine made from x.y (xgen 1.2.3)\nfn a() {}\n", "generated"), ("a/b.js", "// plots of the generated load, tuned by hand for x\n" + CODE, None), ("a/yarn.lock", "[[package]]\n", "generated"), ("a/__snapshots__/x.test.js.snap", "exports[`a`] = 1;", "generated"),
-        ("a/third_party/lib/x.py", CODE, "vendored"), ("a/src/vendors/x.py", CODE, None), ("a/vendor/lib/x.go", CODE, "vendored"), ("a/node_modules/p/README.md", "# p", "vendored"), ("a/build/external_x.js", "// talks to the third_party gateway, see vendor portal\n" + CODE, None),
+        ("a/src/vendors/x.py", CODE, None), ("a/b.py", "# Taken verbatim from left-pad 1.3.0\n" + CODE, "vendored"), ("a/b.py", "# works with left 1.2.3 or later\n" + CODE, None), ("a/build/external_x.js", "// talks to the third_party gateway, see vendor portal\n" + CODE, None),
         ("a/b.js", "// Bundled copy of left 1.2.3. Upstream changes only.\nlet a = 1;\n", "vendored"), ("a/b.js", "/*! @license left v1.2.3 | (c) left contributors */\nlet a = 1;\n", "vendored"), ("a/b.py", "# left 1.2.3 - embedded here to avoid a dependency\n" + CODE, "vendored"),
         ("a/b.js", "!function(a){a.b=" + ";".join(f'x{k}=function(e){{return e.t{k}}}' for k in range(40)) + "}(t);", "minified"), ("a/b.css", "".join(f".a{k}{{margin:{k}px;color:#fff}}" for k in range(60)), "minified"),
         ("a/b.py", f'PATTERN = r"{"|".join(f"word{k}" for k in range(150))}"\n' + CODE, None), ("a/b.c", "const unsigned char x[] = {\n" + "0x1f,0x2e,0x3d,\n" * 60 + "};\n", "data"), ("a/b.sql", "INSERT INTO t VALUES (1, 'abc', 2);\n" * 30, "data"),
@@ -30,8 +30,17 @@ def row(k, root, path, text, at=None):
     return (k, root, path, None if text is None else bytearray(text if isinstance(text, bytes) else text.encode()), at, "z")
 
 
-def found(df):
-    return {r["key"]: r["kind"] for r in H.find_not_handwritten(df, "id", "root", "path", "content", "at").collect()}
+def found(df, **options):
+    return {r["key"]: r["kind"] for r in H.find_not_handwritten(df, "id", "root", "path", "content", "at", **options).collect()}
+
+
+def own(root, n=8):
+    """Files that no other root has."""
+    return [row(1000 * root + k, root, f"src/own{k}.py", CODE * 3 + f"z = {root}, {k}\n") for k in range(n)]
+
+
+def marked(df, **options):
+    return {k: v for k, v in found(df, **options).items() if v}
 
 
 def test_shared_subtrees(table):
@@ -39,8 +48,46 @@ def test_shared_subtrees(table):
     rows = [
         row(1, 1, "app/copied/lib/a.py", body), row(2, 1, "app/copied/lib/sub/b.py", body + "x = 1\n"), row(3, 2, "other/copied/lib/a.py", "# Copyright\r\n" + body.replace("\n", "\r\n")), row(4, 2, "other/copied/lib/sub/b.py", body + "x = 1\n"),
         row(5, 1, "app/own/a.py", body + "y = 1\n"), row(6, 2, "other/own/a.py", body + "z = 1\n"), row(7, 1, "x/same/a.py", body + "w = 1\n"), row(8, 1, "y/same/a.py", body + "w = 1\n"), row(9, 3, "t/tiny/a.py", "a = 1\n"), row(10, 4, "t/tiny/a.py", "a = 1\n"),
+        row(11, 3, "one/file.py", body + "v = 1\n"), row(12, 4, "alone/file.py", body + "v = 1\n"),
     ]
-    assert found(table(rows, SCHEMA, files=2)) == {1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored", 5: None, 6: None, 7: None, 8: None, 9: None, 10: None}
+    rows += own(1) + own(2) + own(3) + own(4)
+    assert marked(table(rows, SCHEMA, files=2)) == dict.fromkeys((1, 2, 3, 4), "vendored")
+
+
+def library(k, root, folder):
+    """Five files in two folders, with the notes that came with them."""
+    texts = [CODE * 2 + f"u = {j}\n" for j in range(4)] + ["# how to use it " * 20]
+    return [row(k + j, root, f"{folder}/{name}", t) for j, (name, t) in enumerate(zip(("a.py", "b.py", "in/c.py", "in/d.py", "README.md"), texts))]
+
+
+def test_a_renamed_copy_is_found(table):
+    rows = own(1) + own(2) + own(3) + library(1, 1, "app/left-1.0") + library(11, 2, "deep/down/here/renamed") + library(21, 3, "left")
+    assert marked(table(rows, SCHEMA, files=2)) == dict.fromkeys([*range(1, 6), *range(11, 16), *range(21, 26)], "vendored")
+
+
+def test_forks_are_no_copies(table):
+    fork = [row(k + 500, 2, p.replace("src", "source"), bytes(c)) for k, _, p, c, _, _ in own(1)]
+    rows = own(1) + fork + [row(9001, 2, "source/new.py", CODE * 4)]
+    assert marked(table(rows, SCHEMA)) == {}
+    # what a fork and its origin took from elsewhere is still a copy
+    rows += own(3) + library(1, 1, "app/left") + library(11, 2, "app/left") + library(21, 3, "x/right")
+    assert set(marked(table(rows, SCHEMA))) == {*range(1, 6), *range(11, 16), *range(21, 26)}
+
+
+def test_folders_of_copies_are_learned(table):
+    rows, k = [], 0
+    for root in range(1, 9):
+        rows += own(root)
+        for lib in range(4):  # each package is in two roots
+            k += 1
+            rows.append(row(k, root, f"web/extlib/p{lib}/x.py", CODE * 3 + f"p = {lib}, {root // 2}\n"))
+        k += 1
+        rows.append(row(k, root, f"web/extlib/own{root}/x.py", CODE * 3 + f"q = {root}\n"))  # of no other root
+        rows.append(row(k + 5000, root, f"web/pages/p{root}/x.py", CODE * 3 + f"r = {root}\n"))
+    assert marked(table(rows, SCHEMA, files=2)) == dict.fromkeys(range(1, k + 1), "vendored")
+    alone = [row(1, 1, "a/vendor/lib/x.go", CODE), row(2, 1, "a/node_modules/p/README.md", "# p"), row(3, 1, "a/vendor/x.go", CODE), row(4, 1, "a/vendor/lib/empty.go", " "), row(5, 1, "a/vendor/lib/y.go", "// Code generated by x. DO NOT EDIT.\n"), row(6, 1, "a/extlib/lib/x.go", CODE)]
+    assert marked(table(alone, SCHEMA)) == {1: "vendored", 2: "vendored", 5: "generated"}
+    assert marked(table(alone, SCHEMA), managed=frozenset(["extlib"])) == {5: "generated", 6: "vendored"}
 
 
 def test_merkle_hash_sees_names_and_contents(table):
