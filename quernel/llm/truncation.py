@@ -4,12 +4,16 @@ Lengths: per source, a log-normal length distribution is fitted by maximum likel
 candidate limits (values far more frequent than their neighbours) being right-censored. What the
 fit expects at a limit against what stands there gives the limit's censoring posterior.
 
-Endings: each text's end is put into one of a few classes, as is the end of the same text cut at
-a position hashed from its key. The cut ends show how cut texts end; how whole texts end and how
-often each source and limit cuts is found by expectation maximisation over all texts, the
-censoring posterior being the prior at a limit. A text is truncated if the posterior odds, its
-limit's or source's prior times the likelihood ratio of its ending, exceed one. A text that ends
-with a full stop was not cut inside a sentence and is whole, wherever it ends.
+Endings: each text's end is put into one of a few classes. Two distributions over the classes are
+needed. How cut texts end shows in self-made cuts of the same texts, at positions hashed from their
+keys; a cut that falls between two sentences is none. Whether a source marks its cuts, which
+self-made cuts can't show, is learned at its limits, where the censoring posterior tells what was
+cut. How whole texts end is learned by expectation maximisation over all texts, the same for all
+sources, while each source and each limit has its own share of cut texts: sources that hardly cut
+show what whole texts never end with.
+
+A text is truncated if the posterior odds, its limit's or source's share times the likelihood ratio
+of its ending, exceed one.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +35,14 @@ from quernel.runtime import stored
 CLASSES = ("stop", "structure", "formula", "enumerator", "marked", "open", "empty")
 #: Characters before the end that the ending's class may depend on.
 TAIL = 600
-#: Lengths above this are rounded to 12 significant bits, so that a source has a bounded number.
-EXACT_LENGTH = 1 << 20
+#: Length classes per octave, for the density around a length.
+BINS = 64
+#: Rounds of expectation maximisation over all sources, and within each.
+ROUNDS, INNER = 8, 60
+#: Share of cut texts that a source is expected to have, and the weight of this, in texts.
+BASE_SHARE, BASE_WEIGHT = 0.02, 10.0
+#: Weight of a limit's censoring posterior against the endings found there, in texts.
+LIMIT_WEIGHT = 2.0
 
 _MARK = re.compile(r"\s*(?:\.{3,}|…|\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|[\[(<{]\s*(?:text )?(?:truncated|abridged|continued|cut|snip|more|gekürzt|tronqué|truncado)[^\])>}]*[\])>}])\s*$", re.I)
 _STOP = re.compile(r"""[.!?。！？][\])}"'’”»]*$""")
@@ -43,8 +54,6 @@ _CAPTION = re.compile(r"(?:fig|figure|figura|abb|abbildung|table|tabelle|tabla|t
 _ROW = re.compile(r"[^|\n]+(?:\|[^|\n]+)+\|?$|[^\t\n]+(?:\t[^\t\n]+)+$")
 _ITEM = re.compile(r"(?:\d{1,4}[a-z]?|[-*•–]) +\S+(?: \S+){0,6}$")
 _LABELS = re.compile(r"\w[\w .]{2,40}: ?\d+[a-z]? [^.;:]*$")
-#: Prior: few whole texts end in the middle of a sentence, fewer still with a mark of a cut.
-_RARE = (("open", 2e-3), ("enumerator", 2e-2), ("marked", 2e-4))
 _EQUATION = re.compile(r"\s*\([^()]{0,20}\d+\)$")
 _WORD = re.compile(r"[(\[\"'“„]*[^\W\d_]{3,}[)\]\"'”,.;:!?]*$")
 _MATH = re.compile(r"[=∑∫√□≤≥≈±×]|\\[a-z]+|[\^_]\{|&#x|</?su[bp]|[A-Z]\w*[–-][A-Z]{2,}|(?:^|\s)[A-Za-z] \? [A-Za-z0-9]")
@@ -89,6 +98,11 @@ def ending(text: str | None) -> str:
     return "formula" if _formula(t) else "open"
 
 
+def _between(text: str, k: int) -> bool:
+    """Whether a cut at k falls between two sentences, or within the blanks there."""
+    return bool(text[k : k + 1].isspace() or text[k - 1 : k].isspace()) and bool(_STOP.search(text[max(0, k - 40) : k].rstrip()))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         chars, size, end, cut = [], [], [], []
@@ -97,7 +111,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars.append(n)
             size.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
             end.append(ending(text))
-            cut.append(ending(text[: int(n * (0.2 + 0.7 * at))]) if n > 40 else None)
+            k = int(n * (0.2 + 0.7 * at))
+            cut.append(ending(text[:k]) if n > 40 and not _between(text, k) else None)
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(end), pa.array(cut, pa.string())], names=["key", "source", "chars", "bytes", "ending", "cut"])
 
 
@@ -133,102 +148,137 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, censored: np.ndarray,
     return mu, sigma
 
 
-def candidate_limits(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indices of lengths far more frequent than the mean of their neighbourhood."""
-    order = np.argsort(lengths)
-    x, n = lengths[order], counts[order].astype(float)
-    total = np.r_[0, np.cumsum(n)]
-    reach = np.maximum(10, x // 20)
-    low, high = np.searchsorted(x, x - reach), np.searchsorted(x, x + reach, "right")
-    expected = (total[high] - total[low] - n) / (2 * reach)
-    return order[(n >= 4) & (n > expected + 6 * np.sqrt(expected) + 3) & (x > 16)]
+def length_classes(rows: DataFrame) -> DataFrame:
+    """(source, unit, bin, n, low, high): how many texts have lengths in each class of lengths, from low up to high."""
+    low = F.ceil(F.pow(F.lit(2.0), F.col("bin") / BINS))
+    high = F.greatest(F.ceil(F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS)), low + 1)
+    return rows.groupBy("source", "unit", _bin().alias("bin")).agg(F.sum("n").alias("n")).select("source", "unit", "bin", "n", low.cast("long").alias("low"), high.cast("long").alias("high"))
 
 
-def _fit_source(cut: dict[str, float], whole: dict[str, float], rounds: int = 60):
-    """Per source: the prior odds of truncation at each limit and elsewhere."""
-    pc, pw = (np.array([d[c] for c in CLASSES]) for d in (cut, whole))
+def _bin():
+    return F.floor(F.log2(F.greatest("length", F.lit(1)).cast("double")) * BINS + F.lit(1e-9))
 
-    def share(k: np.ndarray, prior: float, strength: float) -> float:
-        theta = prior
-        for _ in range(rounds):
-            r = theta * pc / (theta * pc + (1 - theta) * pw)
-            theta = ((k * r).sum() + strength * prior) / (k.sum() + strength)
-        return min(max(theta, 1e-4), 1 - 1e-4)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        source, out, at_limit = pdf["source"].iloc[0], [], {}
-        for unit, g in pdf.groupby("unit"):
-            h = g.pivot_table(index="length", columns="ending", values="n", aggfunc="sum", fill_value=0).reindex(columns=CLASSES, fill_value=0)
-            x, k = h.index.to_numpy(), h.to_numpy()
-            n = k.sum(1)
-            at = candidate_limits(x, n)
-            censored = np.zeros(len(x))
-            censored[at] = 0.9 * n[at]
-            for _ in range(3):
-                mu, sigma = fit_censored(x, n, censored)
-                for i in at:
-                    z = (math.log(x[i]) - mu) / sigma
-                    natural = n.sum() * math.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * sigma * x[i])
-                    censored[i] = n[i] * min(max(1 - natural / n[i], 0.01), 0.99)
-            for i in at:
-                post = censored[i] / n[i]
-                out.append((source, unit, int(x[i]), int(n[i]), post, share(k[i], post, 2.0)))
-            at_limit[unit] = set(x[at])
-            if unit == "chars":
-                base = k.sum(0) - k[at].sum(0)
-        out.append((source, "none", 0, int(base.sum()), 0.0, share(base, 0.02, 10.0)))
-        return pd.DataFrame(out, columns=["source", "unit", "limit", "n", "censored", "prior"])
+def candidate_limits(exact: DataFrame, classes: DataFrame) -> DataFrame:
+    """(source, unit, length, n): lengths far more frequent than those around them.
 
-    return run
+    ``exact`` has (source, unit, length, n). The density around a length is that of its class and the two
+    beside it, without the length itself.
+    """
+    w = W.partitionBy("source", "unit").orderBy("bin").rangeBetween(-1, 1)  # some thousand classes at most
+    around = classes.select("source", "unit", "bin", F.sum("n").over(w).alias("n_around"))
+    width = F.pow(F.lit(2.0), (F.col("bin") + 2) / BINS) - F.pow(F.lit(2.0), (F.col("bin") - 1) / BINS)
+    expected = (F.col("n_around") - F.col("n")) / F.greatest(width, F.lit(1.0))
+    frequent = exact.where((F.col("n") >= 4) & (F.col("length") > 16)).withColumn("bin", _bin())
+    return frequent.join(around, ["source", "unit", "bin"]).where(F.col("n") > expected + 6 * F.sqrt(expected) + 3).select("source", "unit", "length", "n")
+
+
+def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The censoring posterior of each candidate limit of a source; rows are length classes and limits."""
+    out = []
+    for unit, g in pdf.groupby("unit"):
+        at = g[g["is_limit"]]
+        rest = g[~g["is_limit"]]
+        if at.empty:
+            continue
+        x = np.r_[rest["length"].to_numpy(float), at["length"].to_numpy(float)]
+        n = np.r_[rest["n"].to_numpy(float), at["n"].to_numpy(float)]
+        k = np.arange(len(rest), len(x))
+        censored = np.zeros(len(x))
+        censored[k] = 0.9 * n[k]
+        for _ in range(3):
+            mu, sigma = fit_censored(x, n, censored)
+            z = (np.log(x[k]) - mu) / sigma
+            natural = n.sum() * np.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * sigma * x[k])
+            censored[k] = n[k] * np.clip(1 - natural / n[k], 0.01, 0.99)
+        out += [(pdf["source"].iloc[0], unit, int(x[i]), int(n[i]), censored[i] / n[i]) for i in k]
+    return pd.DataFrame(out, columns=["source", "unit", "limit", "n", "censored"])
+
+
+_MARKED = CLASSES.index("marked")
+_SHARES = "source string, unit string, limit long, share double, marking double, " + ", ".join(f"whole_{c} double" for c in CLASSES)
+
+
+def _explain(shape: np.ndarray, whole: np.ndarray, marking: float):
+    """Per source: the shares of cut texts in its strata, how often it marks a cut, and how its whole texts end.
+
+    ``shape`` is how cut texts without a mark end, ``whole`` how whole texts do, ``marking`` how often cuts
+    are marked where nothing is known of the source.
+    """
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf[list(CLASSES)].to_numpy(float)
+        is_limit = (pdf["unit"] != "none").to_numpy()
+        prior = np.where(is_limit, pdf["censored"].to_numpy(float), BASE_SHARE)
+        weight = np.where(is_limit, LIMIT_WEIGHT, BASE_WEIGHT)
+        share, marks = prior.copy(), marking
+        for _ in range(INNER):
+            cut = shape * (1 - marks)
+            cut[_MARKED] = marks
+            r = share[:, None] * cut / (share[:, None] * cut + (1 - share[:, None]) * whole)
+            share = np.clip(((k * r).sum(1) + weight * prior) / (k.sum(1) + weight), 1e-5, 1 - 1e-5)
+            # what a mark means is learned where lengths tell what was cut
+            sure = (k * r)[is_limit]
+            marks = float(np.clip((sure[:, _MARKED].sum() + marking) / (sure.sum() + 1), 1e-4, 1 - 1e-4))
+        out = pdf[["source", "unit", "limit"]].assign(share=share, marking=marks)
+        left = k * (1 - r)
+        return out.assign(**{f"whole_{c}": left[:, i] for i, c in enumerate(CLASSES)})
 
-def _rounded(c: str):
-    big = F.floor(F.log2(F.greatest(F.col(c), F.lit(1)))) - 11
-    return F.when(F.col(c) <= EXACT_LENGTH, F.col(c)).otherwise((F.floor(F.col(c) / F.pow(F.lit(2.0), big)) * F.pow(F.lit(2.0), big)).cast("long"))
+    return run
 
 
-def detect_truncation(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
+def detect_truncation(df: DataFrame, key: str, source: str, text: str, use_lengths: bool = True) -> DataFrame:
     """(key, source, chars, bytes, ending, odds, is_truncated) of every non-null text.
 
+    ``use_lengths=False`` leaves the lengths out, to show what they are good for.
+
     Cases: null texts are left out; empty or blank texts are whole; a null source is a source of
     its own; repeated rows are judged alike; an empty table gives an empty result; only the last
     600 characters of a text bear on its ending, its length being that of the whole text; other
     columns are not read.
     """
     rows = stored(features(df, key, source, text).withColumn("source", F.col("source").cast("string")), "endings")
-    counts = {(r["kind"], r["class"]): r["n"] for r in rows.select(F.explode(F.array(F.struct(F.lit("end").alias("kind"), F.col("ending").alias("class")), F.struct(F.lit("cut").alias("kind"), F.col("cut").alias("class")))).alias("x")).groupBy("x.kind", "x.class").agg(F.count(F.lit(1)).alias("n")).collect()}  # 14 rows at most
-    cut = {c: counts.get(("cut", c), 0) + 0.5 for c in CLASSES}
-    # a mark is put where a text was cut, so cut texts have it however rarely it is met inside texts
-    cut["marked"] = max(cut["marked"], 0.05 * sum(cut.values()))
-    cut["empty"] = 1e-3
-    cut = {c: n / sum(cut.values()) for c, n in cut.items()}
-    whole = {c: counts.get(("end", c), 0) + 0.5 for c in CLASSES}
-    n, theta = sum(whole.values()), 0.05
-    whole = {c: k / n for c, k in whole.items()}
-    ends = {c: counts.get(("end", c), 0) for c in CLASSES}
-    for c in ("open", "marked", "enumerator"):
-        whole[c] *= 0.1
-    for _ in range(100):
-        r = {c: theta * cut[c] / (theta * cut[c] + (1 - theta) * whole[c]) for c in CLASSES}
-        theta = min(max(sum(ends[c] * r[c] for c in CLASSES) / max(1, sum(ends.values())), 1e-4), 0.9)
-        left = {c: ends[c] * (1 - r[c]) + 0.5 for c in CLASSES}
-        whole = {c: k / sum(left.values()) for c, k in left.items()}
-        for c, most in _RARE:
-            whole[c] = min(whole[c], most * cut[c])
-    units = rows.select("source", "ending", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), _rounded("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), _rounded("bytes").alias("length")))).alias("x"))
-    histogram = units.groupBy("source", "x.unit", "x.length", "ending").agg(F.count(F.lit(1)).alias("n"))
-    fitted = stored(histogram.groupBy("source").applyInPandas(_fit_source(cut, whole), "source string, unit string, limit long, n long, censored double, prior double"), "limits")
-    base = fitted.where("unit = 'none'").select(F.col("source").alias("base_source"), F.col("prior").alias("base_prior"))
-    found = rows.join(base, F.col("source").eqNullSafe(F.col("base_source")), "left")
+    named = rows.withColumn("real_source", F.col("source")).withColumn("source", F.coalesce("source", F.lit("\0")))
+    counts = {r["cut"]: r["n"] for r in rows.where("cut is not null").groupBy("cut").agg(F.count(F.lit(1)).alias("n")).collect()}  # 7 rows at most
+    shape = np.array([0.0 if c in ("marked", "empty") else counts.get(c, 0) + 0.5 for c in CLASSES])
+    shape = np.maximum(shape / shape.sum(), 1e-9)
+    lengths = named.select("source", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))).alias("x"))
+    exact = lengths.groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+    exact = stored(exact if use_lengths else exact.where("false"), "lengths")
+    classes = stored(length_classes(exact), "length-classes")
+    limits = stored(candidate_limits(exact, classes), "candidates")
+    taken = limits.groupBy("source", "unit", _bin().alias("bin")).agg(F.sum("n").alias("taken"))
+    rest = classes.join(taken, ["source", "unit", "bin"], "left").select("source", "unit", ((F.col("low") + F.col("high") - 1) / 2).alias("length"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"), F.lit(False).alias("is_limit")).where("n > 0")
+    both = rest.unionByName(limits.select("source", "unit", F.col("length").cast("double").alias("length"), "n", F.lit(True).alias("is_limit")))
+    fitted = stored(both.groupBy("source").applyInPandas(_fit_source, "source string, unit string, limit long, n long, censored double"), "limits")
+
+    placed = named
     for unit in ("chars", "bytes"):
-        limits = fitted.where(F.col("unit") == unit).select(F.col("source").alias(f"{unit}_source"), F.col("limit").alias(f"{unit}_limit"), F.col("prior").alias(f"{unit}_prior"))
-        found = found.join(limits, F.col("source").eqNullSafe(F.col(f"{unit}_source")) & (_rounded(unit) == F.col(f"{unit}_limit")), "left")
-    prior = F.greatest(*(F.coalesce(c, F.lit(0.0)) for c in ("base_prior", "chars_prior", "bytes_prior")))
-    ratio = F.lit(1.0)
-    for c in CLASSES:
-        ratio = F.when(F.col("ending") == c, F.lit(cut[c] / whole[c])).otherwise(ratio)
-    odds = prior / (1 - prior) * ratio
-    return found.select("key", "source", "chars", "bytes", "ending", odds.alias("odds"), ((odds > 1) & ~F.col("ending").isin("stop", "empty")).alias("is_truncated"))
+        one = fitted.where(F.col("unit") == unit).select("source", F.col("limit").alias(unit), F.col("censored").alias(f"{unit}_censored"))
+        placed = placed.join(one, ["source", unit], "left")
+    by_bytes = F.coalesce("bytes_censored", F.lit(0.0)) > F.coalesce("chars_censored", F.lit(0.0))
+    unit = F.when(by_bytes, "bytes").when(F.col("chars_censored").isNotNull(), "chars").otherwise("none")
+    placed = placed.withColumn("unit", unit).withColumn("limit", F.when(by_bytes, F.col("bytes")).when(F.col("chars_censored").isNotNull(), F.col("chars")).otherwise(0)).withColumn("censored", F.greatest(F.coalesce("bytes_censored", F.lit(0.0)), F.coalesce("chars_censored", F.lit(0.0))))
+    placed = stored(placed.drop("bytes_censored", "chars_censored", "cut"), "placed")
+    strata = stored(placed.groupBy("source", "unit", "limit").agg(F.max("censored").alias("censored"), *(F.sum((F.col("ending") == c).cast("double")).alias(c) for c in CLASSES)), "strata")
+
+    sums = lambda d, names: np.array([float(x or 0) for x in d.agg(*(F.sum(c) for c in names)).first()])
+    known = strata.where("unit <> 'none'").select((F.col("censored") * F.col("marked")).alias("m"), (F.col("censored") * sum(F.col(c) for c in CLASSES)).alias("n"))
+    m, n = sums(known, ["m", "n"])
+    marking = (m + 0.5) / (n + 50)
+    whole = sums(strata.where("unit = 'none'"), CLASSES)
+    for _ in range(ROUNDS):
+        whole = (whole + 0.02) / (whole.sum() + 0.02 * len(CLASSES))
+        shares = stored(strata.groupBy("source").applyInPandas(_explain(shape, whole, marking), _SHARES), "shares")
+        whole = sums(shares, [f"whole_{c}" for c in CLASSES])
+    whole = (whole + 0.02) / (whole.sum() + 0.02 * len(CLASSES))
+    found = placed.join(shares.select("source", "unit", "limit", "share", "marking"), ["source", "unit", "limit"])
+    ratio = F.lit(0.0)
+    for i, c in enumerate(CLASSES):
+        given_cut = F.col("marking") if c == "marked" else (1 - F.col("marking")) * F.lit(float(shape[i]))
+        ratio = F.when(F.col("ending") == c, given_cut / F.lit(float(whole[i]))).otherwise(ratio)
+    odds = F.col("share") / (1 - F.col("share")) * ratio
+    return found.select("key", F.col("real_source").alias("source"), "chars", "bytes", "ending", odds.alias("odds"), (odds > 1).alias("is_truncated"))
 
 
 def truncation_report(found: DataFrame) -> DataFrame:

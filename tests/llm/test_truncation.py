@@ -30,7 +30,52 @@ def test_censored_fit():
     assert abs(mu - 6.0) < 0.03 and abs(sigma - 0.5) < 0.03
     naive, _ = T.fit_censored(x, n, np.zeros(len(x)))
     assert naive < mu - 0.05
-    assert x[T.candidate_limits(x, n)].tolist() == [500]
+
+
+def limits(table, lengths):
+    from collections import Counter
+
+    exact = table([("s", "chars", x, n) for x, n in Counter(lengths).items()], "source string, unit string, length long, n long", files=2)
+    return sorted(r["length"] for r in T.candidate_limits(exact, T.length_classes(exact)).collect())
+
+
+def test_candidate_limits(table):
+    rng = np.random.default_rng(2)
+    natural = np.exp(rng.normal(6.0, 0.5, 20_000)).astype(int)
+    assert limits(table, np.minimum(natural, 500).tolist()) == [500]
+    assert limits(table, natural.tolist()) == []
+    # limits far above a million are told from their neighbours, too
+    long = np.exp(rng.normal(15.0, 0.5, 5_000)).astype(int)
+    assert limits(table, np.minimum(long, 4_000_001).tolist() + [4_000_000, 4_000_003]) == [4_000_001]
+    assert limits(table, [20] * 3 + [7] * 90) == []
+
+
+def test_what_a_mark_means_is_learned_at_limits(table):
+    rng = random.Random(5)
+    rows = []
+    for k in range(1200):
+        text = " ".join(sentence(rng) for _ in range(rng.randint(3, 16)))
+        source = "marking" if k % 2 else "dotted"  # the second ends whole texts with dots now and then
+        if source == "marking" and len(text) > 450:
+            text = text[:447].rstrip(". ") .ljust(447, "x") + "..."
+        elif source == "marking" and k % 25 == 1:
+            text = text[: len(text) // 2].rstrip(". ") + "..."
+        rows.append((k, source, text))
+    df = table(rows, "id long, src string, body string", files=2)
+    marked = {k for k, _, t in rows if t.endswith("...")}
+    got = {r["key"] for r in T.detect_truncation(df, "id", "src", "body").where("is_truncated").collect()}
+    blind = {r["key"] for r in T.detect_truncation(df, "id", "src", "body", use_lengths=False).where("is_truncated").collect()}
+    assert len(marked) > 200 and len(marked - got) < 5 and len(got - marked) < 5 and not blind & marked
+
+
+def test_a_stop_at_a_limit_is_no_cut_inside_a_sentence(table):
+    rng = random.Random(6)
+    rows = []
+    for k in range(900):
+        text = " ".join(sentence(rng) for _ in range(rng.randint(3, 16)))[:400]
+        rows.append((k, "s", text))
+    got = {r["key"]: r["ending"] for r in T.detect_truncation(table(rows, "id long, src string, body string"), "id", "src", "body").where("is_truncated").collect()}
+    assert len(got) > 200 and "stop" not in got.values()
 
 
 def sentence(rng):
