@@ -1,7 +1,7 @@
 """Text garbled by decoding bytes in another encoding than they were written in.
 
 A multinomial classifier over hashed byte bigrams is trained on synthetically garbled words: the
-words of a bounded sample of lines (and a few fixed phrases) are put through every encoding chain
+most frequent words of all lines (and a few fixed phrases) are put through every encoding chain
 under consideration, each chain being a class, the words as they are being the class of proper
 text. A line is scored word by word; the stretch of words with the greatest log odds of a chain
 against proper text is the suspected piece. The chain is then inverted; only if that decodes
@@ -16,9 +16,9 @@ no class; it is found only where a replacement character stands in it, and never
 from __future__ import annotations
 
 import bisect
+import codecs
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lines that the classifier is trained on at most, and different words among them.
-SAMPLE_LINES = 20_000
+#: Different words that the classifier is trained on at most, the most frequent of all lines, and their length.
 SAMPLE_WORDS = 3_000
+SAMPLE_LENGTH = 200
 BUCKETS = 1 << 12
 #: Log odds that a stretch of words must exceed.
 LEAST_ODDS = 7.0
@@ -50,31 +50,32 @@ CHAINS = (*((w, r) for w in _WRITTEN for r in _READ if w != r), *_TWICE)
 
 #: Proper text of many languages, so that the classifier knows their letters whatever the table holds.
 PHRASES = (
-    "Über größere Öffnungen können wir später natürlich ausführlich schließen, Äpfel für Mädchen müssen süß sein",
-    "déjà vu à l'été où les élèves français préfèrent être reçus à côté de la forêt, voilà une leçon très âgée, ça où",
-    "El niño pequeño corrió según el último año más allá, ¿qué pasó? también acción música fácil inglés así está",
-    "São Paulo não é só uma opção, informação e coleção também são públicas até amanhã, três irmãs às vezes avó",
-    "perché la città è più bella così, però può già libertà università qualità",
-    "żółć źródło łąka święto wartość następny później użytkownik błąd ścieżka część również między",
-    "příliš žluťoučký kůň úpěl ďábelské ódy, může být řádek číslo vstupní uživatel přidat",
-    "őszintén szólva tűrhető árvíztűrő tükörfúrógép, működés először gyűjtemény",
-    "şimdi güzel çiçekler açıyor, değişken ölçü kullanıcı çıkış şifre için değer boş geçersiz satır",
-    "și înapoi când fără această țară română, întotdeauna câmp rând țintă şi ţară",
-    "å være på sjøen er gøy, også når været er dårlig, høst bjørk ærlig få",
-    "för många år sedan, hälsa på läkaren, även när också båda",
-    "það er ógilt að þú sért í stærð, rétt skrár æði Þór ÞAÐ",
-    "ошибка значение загрузка проверить закрыть файл ключ поток данные размер очереди также чтобы Россия съешь ещё этих мягких французских булок",
-    "це український текст, їжак і ґанок також є",
-    "αρχείο σφάλμα μέγεθος αναζήτηση κλειδί τιμή έλεγχος γραμμή και είναι από την Ελλάδα",
-    "错误 检查 返回 大小 文件 索引 更新 搜索 结果 关键字 我们 可以 使用 这个 函数 中国",
-    "検索する 結果が 更新 行番号 設定を 読み込む ファイル 空の 確認 日本語の文章です",
-    "안녕하세요 한국어 문장입니다 검색 결과 파일 오류",
-    "“quoted” text – with dashes — isn’t rare… it costs €5 ±3° ½ × ¼ ≤ ≥ ≠ ∑ √ → ← ✓ • · § © ® ™ °C µm",
-    "┌──┐ │ ├── └── ░▒▓ ═══ ║",
+    "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich; Jörg bäckt quasi zwei Haxenfüße vom Wildpony, heißölrückstoßabdämpfung; Fix, Schwyz! quäkt Jürgen blöd vom Paß; süße Nüsse, grüne Hügel, schöne Vögel, tiefe Höhle, völlig, Löffel, fördern, töpfern, König, zählen, Äxte, Öle, Übel",
+    "Voix ambiguë d'un cœur qui au zéphyr préfère les jattes de kiwis; dès Noël où un zéphyr haï me vêt de glaçons würmiens, je dîne d'exquis rôtis de bœuf à l'aÿ d'âge mûr",
+    "El pingüino Wenceslao hizo kilómetros bajo exhaustiva lluvia y frío, añoraba a su querido cachorro; ¡jovencillo emponzoñado de whisky, qué figurota exhibís! ¿sabíais?",
+    "Luís argüia à Júlia que brações, fé, chá, óxido, pôr, zângão eram palavras; à noite vovô Kowalsky vê o ímã cair no pé do pinguim e lança a sertã, põe maçãs, razões",
+    "Quel vituperabile xenofobo zelante assaggia il caffè ed esclama: l'aiuola, ahimè, lassù è laggiù, virtù, lunedì, falò",
+    "Pchnąć w tę łódź jeża lub ośm skrzyń fig; zażółć gęślą jaźń, mężny bądź, chroń pułk twój i sześć flag",
+    "Nechť již hříšné saxofony ďáblů rozezvučí síň úděsnými tóny waltzu, tanga a quickstepu; loď čeří kýlem tůň obzvlášť; dvakrát měř, jednou řež, tři přátelé přišli před večeří přes příkop, ať žijí růže a dům můj",
+    "Jó foxim és don Quijote húszwattos lámpánál ülve egy pár bűvös cipőt készít; öt hűtőházból kértünk színhúst",
+    "Pijamalı hasta yağız şoföre çabucak güvendi; fahiş bluz güvencesi yağdırma projesi çöktü, İğdır",
+    "Muzicologă în bej vând whisky și tequila, preț fix; bând whisky, jazologul șprițuit vomă fix în tequila, ţuică, şapte",
+    "Høvdingens kjære squaw får litt pizza i Mexico by; quizdeltagerne spiste jordbær med fløde, mens cirkusklovnen spillede på xylofon, Ærø",
+    "Flygande bäckasiner söka hwila på mjuka tuvor; yxskaftbud, ge vår wc-zonmö iq-hjälp, törsten, ändå",
+    "Kæmi ný öxi hér, ykist þjófum nú bæði víl og ádrepa; sævör grét áðan því úlpan var ónýt, Ýsa, Þór, Ðí",
+    "В чащах юга жил бы цитрус? Да, но фальшивый экземпляр! Эх, чужак, общий съём цен шляп вдрызг; широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства",
+    "Чуєш їх, доцю, га? Кумедна ж ти, прощайся без ґольфів! Жебракують філософи при ґанку церкви в Гадячі, ще й шатро їхнє п'яне",
+    "Ξεσκεπάζω την ψυχοφθόρα σας βδελυγμία; γαζίες και μυρτιές δεν θα βρω πια στο χρυσαφί ξέφωτο, ταχίστη αλώπηξ, ώρα, ύψος",
+    "天地玄黄 宇宙洪荒 日月盈昃 辰宿列张 寒来暑往 秋收冬藏 云腾致雨 露结为霜 金生丽水 玉出昆冈 剑号巨阙 珠称夜光",
+    "いろはにほへと ちりぬるを わかよたれそ つねならむ うゐのおくやま けふこえて あさきゆめみし ゑひもせす トリナクコヱス ユメサマセ ミヨアケワタル 春の夜の夢",
+    "키스의 고유조건은 입술끼리 만나야 하고 특별한 기술은 필요치 않다 다람쥐 헌 쳇바퀴에 타고파 참나무 타는 소리와 야경만큼",
+    "“curly” ‘single’ „low“ «angle» – en — em … dots • bullet · middle €5 £7 ¥9 ±3° ½ × ¼ ÷ ≤ ≥ ≠ ∑ √ ∞ → ← ✓ § © ® ™ °F µs",
+    "┌──┐ │ ├── └── ░▒▓ ═══ ║ █ ▄",
 )
 
 #: Words end at ASCII blanks and punctuation only: other blanks may be bytes read wrongly.
 _TOKEN = re.compile(r"[^ \t\n\r\f\v\"'|;,(){}<>\[\]=:`]+")
+_JAVA_TOKEN = _TOKEN.pattern.replace("\\v", "\\x0B")
 _UNDEFINED = re.compile("[\x80-\x9f]")
 
 
@@ -93,15 +94,25 @@ def _reader(encoding: str) -> tuple[list[str], dict[str, int]]:
     return chars, back
 
 
+@lru_cache(maxsize=None)
+def _table(encoding: str) -> str:
+    return "".join(_reader(encoding)[0])
+
+
+def _written(text: str, encoding: str) -> bytes | None:
+    try:
+        return text.encode(encoding)
+    except UnicodeEncodeError:
+        return None
+
+
 def garble(text: str, chain: tuple[str, ...]) -> str | None:
     """What the chain makes of proper text; null where the text can't be written so."""
     for written, read in zip(chain[::2], chain[1::2]):
-        try:
-            data = text.encode(written)
-        except UnicodeEncodeError:
+        data = _written(text, written)
+        if data is None:
             return None
-        chars = _reader(read)[0]
-        text = "".join([chars[b] for b in data])
+        text = codecs.charmap_decode(data, "strict", _table(read))[0]
     return text
 
 
@@ -148,12 +159,8 @@ class Classifier:
     chain, a class of that chain, so that only texts of like variety are compared.
     """
 
-    def __init__(self, lines: list[str]):
-        seen: Counter[str] = Counter()
-        for line in lines:
-            if "\ufffd" not in line:
-                seen.update(t for t in _TOKEN.findall(line) if not t.isascii())
-        words = dict(seen.most_common(SAMPLE_WORDS))
+    def __init__(self, frequent: dict[str, int]):
+        words = dict(frequent)
         typical = max(1, sum(words.values()) // 20_000)
         home: dict[str, int] = {}
         for k, phrase in enumerate(PHRASES):
@@ -168,10 +175,13 @@ class Classifier:
                 weight[i] = 0
         place = {t: i for i, t in enumerate(tokens)}
         chained: dict[tuple[str, ...], list[tuple[int, str]]] = {c: [] for c in CHAINS}
+        bytes_in = {e: [_written(t, e) for t in tokens] for e in dict.fromkeys(c[0] for c in CHAINS)}
         for chain, made in chained.items():
-            for i, t in enumerate(tokens):
-                g = garble(t, chain)
-                if g and g != t and not g.isascii():
+            table, rest = _table(chain[1]), chain[2:]
+            for i, data in enumerate(bytes_in[chain[0]]):
+                g = None if data is None else codecs.charmap_decode(data, "strict", table)[0]
+                g = garble(g, rest) if g and rest else g
+                if g and g != tokens[i] and not g.isascii():
                     made.append((i, g))
         for made in chained.values():  # nor are words that a chain makes of far more frequent ones
             for i, g in made:
@@ -207,14 +217,21 @@ class Classifier:
         self.chains = [c for c, _ in self.classes]
         self._cache: dict[str, np.ndarray] = {}
         for _ in range(2):  # again without the words that the first classifier finds garbled
-            self.proper = self._tables(owner, bucket, weight, language, len(PHRASES))
-            self.garbled = np.stack([self._log(b, weight[o]) for o, b in made_by]).astype(np.float16)
+            self.proper = np.ascontiguousarray(self._tables(owner, bucket, weight, language, len(PHRASES)).T)
+            self.garbled = np.ascontiguousarray(np.stack([self._log(b, weight[o]) for o, b in made_by]).T)
             self._cache.clear()
             for i, t in enumerate(tokens):
                 if weight[i] and t not in home and self._suspect(t):
                     weight[i] *= 0.01
         self._cache.clear()
 
+    def __getstate__(self) -> dict:
+        """Half precision is enough to travel with."""
+        return self.__dict__ | {"garbled": self.garbled.astype(np.float16), "_cache": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"garbled": state["garbled"].astype(np.float32)})
+
     @staticmethod
     def _explained(token: str, read: str) -> bool:
         found = restore(token, ("utf-8", read))
@@ -243,7 +260,7 @@ class Classifier:
             if len(self._cache) > 20_000:
                 self._cache.clear()
             b = _bigrams(token)
-            s = self._cache[token] = self.garbled[:, b].sum(1, dtype=np.float32) - self.proper[:, b].sum(1).max()
+            s = self._cache[token] = self.garbled[b].sum(0) - self.proper[b].sum(0).max()
         return s
 
     def _next(self, line: str, at: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray] | None:
@@ -261,8 +278,12 @@ class Classifier:
             if not tokens:
                 if s.max() <= 0:
                     continue
+                seen: set[str] = set()
                 best, start, end = np.full(k, -np.inf, np.float32), np.zeros(k, np.int32), np.zeros(k, np.int32)
                 run, begun = np.zeros(k, np.float32), np.zeros(k, np.int32)
+            if word in seen:  # said before, it is no further evidence
+                s = np.minimum(s, 0)
+            seen.add(word)
             i = len(tokens)
             tokens.append(m.span())
             fresh = run <= 0
@@ -306,15 +327,24 @@ class Classifier:
         the characters that places of the line had; a piece must not just bring them back.
         """
         n = len(tokens)
-        heap = [(-float(best[c]), k, c, 0, n, int(start[c]), int(end[c])) for k, c in enumerate(np.argsort(-best, kind="stable").tolist()) if best[c] > LEAST_ODDS]
-        heapq.heapify(heap)
-        scores = np.stack([self.score(line[i:j]) for i, j in tokens]).T if n <= 4096 else None
+        above = np.flatnonzero(best > LEAST_ODDS)
+        above = above[np.argsort(-best[above], kind="stable")]
+        # in order, which is a heap
+        heap = list(zip((-best[above]).tolist(), range(len(above)), above.tolist(), [0] * len(above), [n] * len(above), start[above].tolist(), end[above].tolist()))
+        again, seen = [], set()
+        for i, j in tokens:
+            again.append(line[i:j] in seen)
+            seen.add(line[i:j])
+        own_score = lambda w: np.minimum(self.score(line[slice(*tokens[w])]), 0) if again[w] else self.score(line[slice(*tokens[w])])
+        scores = np.stack([own_score(w) for w in range(n)]).T if n <= 4096 else None
+        # words that are proper in any class make no stretch by themselves
+        waiting = {i for i, k in enumerate((scores.max(0) > 0).tolist()) if k} if scores is not None else {-1}
         odds_of: dict[int, list[float]] = {}
         known: dict[tuple[str, ...], dict[str, bool]] = {}
         hits: list[tuple[float, int, int, tuple[str, ...], str]] = []
         spans: list[tuple[int, int]] = []
         taken = bytearray(n)
-        while heap:
+        while heap and waiting:
             odds, k, c, low, high, first, last = heapq.heappop(heap)
             a, b = tokens[first][0], tokens[last][1]
             chain = self.chains[c]
@@ -323,7 +353,7 @@ class Classifier:
                 for x, y in ((a, b), (a, b + 1), (a - 1, b), (a, b - 1)):
                     if 0 <= x < y <= len(line):
                         original = restore(line[x:y], chain)
-                        if original is not None and original != line[x:y] and not _UNDEFINED.search(original) and _onward(line, x, y, original, past):
+                        if original is not None and original != line[x:y] and not _UNDEFINED.search(original) and _onward(line, x, y, original, past) and (chain[0] not in _WIDE or _of_one_script(original)):
                             break
                 else:
                     original = None
@@ -335,9 +365,10 @@ class Classifier:
                         break
                     spans.insert(at, (x, y))
                     taken[first : last + 1] = b"\1" * (last + 1 - first)
+                    waiting.difference_update(range(first, last + 1))
                     hits.append((-odds, x, y, chain, original))
             if c not in odds_of:
-                odds_of[c] = (scores[c] if scores is not None else np.array([self.score(line[i:j])[c] for i, j in tokens])).tolist()
+                odds_of[c] = (scores[c] if scores is not None else np.array([own_score(w)[c] for w in range(n)])).tolist()
             own = odds_of[c]
             for i, j in (p for part in parts if part[0] < part[1] for p in self._parts(line, tokens, *part, chain, known.setdefault(chain, {}))):
                 most, run = LEAST_ODDS, 0.0
@@ -388,18 +419,28 @@ class Classifier:
         return self._next(line, 0) is not None
 
 
+def _of_one_script(text: str) -> bool:
+    """Whether text of an encoding with wide characters has more of these than of Latin letters."""
+    return 2 * sum(c > "\u2e7f" for c in text) > sum(c.isalpha() for c in text)
+
+
 def _onward(line: str, x: int, y: int, original: str, past: set[tuple[int, str]]) -> bool:
     """Whether the original is shorter or has a character that its place never had, so that repair ends."""
     return len(original) < y - x or len(original) == y - x and any(new != old and (k, new) not in past for k, (old, new) in enumerate(zip(line[x:y], original), x))
 
 
-def training_lines(df: DataFrame, key: str, text: str, limit: int = SAMPLE_LINES) -> list[str]:
-    """A sample of at most ``limit`` lines with other than ASCII characters, by hash of key and line."""
-    rows = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(text).alias("line"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    return sorted({r["line"][:2000] for r in rows.orderBy("h").limit(limit).collect()})
+def training_words(df: DataFrame, text: str, limit: int = SAMPLE_WORDS) -> dict[str, int]:
+    """The ``limit`` most frequent words with other than ASCII characters, and how often all lines hold them.
+
+    Lines with replacement characters do not count, nor do words of more than ``SAMPLE_LENGTH`` characters.
+    """
+    word = F.explode(F.regexp_extract_all(F.col(text), F.lit(_JAVA_TOKEN), F.lit(0))).alias("word")
+    rows = df.where(F.col(text).rlike(r"[^\x00-\x7f]") & ~F.contains(F.col(text), F.lit("\ufffd"))).select(word)
+    counts = rows.where(F.col("word").rlike(r"[^\x00-\x7f]") & (F.length("word") <= SAMPLE_LENGTH)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()}
 
 
-def find_garbled(df: DataFrame, key: str, text: str, limit: int = SAMPLE_LINES) -> DataFrame:
+def find_garbled(df: DataFrame, key: str, text: str, limit: int = SAMPLE_WORDS) -> DataFrame:
     """(key, chains, restored, is_restored) of every row whose text is garbled, wholly or in part.
 
     ``chains`` names the encodings passed through, innermost last; ``lost`` stands for replacement
@@ -409,10 +450,11 @@ def find_garbled(df: DataFrame, key: str, text: str, limit: int = SAMPLE_LINES)
 
     Cases: null, empty and ASCII texts are proper; repeated rows give repeated rows; texts may be of
     any length, all words being scored; an empty table gives an empty result; other columns are not
-    read. The training sample is bounded by ``limit``; all rows are judged.
+    read. The classifier is trained on the ``limit`` most frequent words, counted over all rows; all
+    rows are judged.
     """
     # a few MB: BUCKETS half-precision numbers for each of the bounded number of classes
-    shared = df.sparkSession.sparkContext.broadcast(Classifier(training_lines(df, key, text, limit)))
+    shared = df.sparkSession.sparkContext.broadcast(Classifier(training_words(df, text, limit)))
     rows = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType
 
