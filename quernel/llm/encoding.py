@@ -50,7 +50,7 @@ CHAINS = (*((w, r) for w in _WRITTEN for r in _READ if w != r), *_TWICE)
 
 #: Proper text of many languages, so that the classifier knows their letters whatever the table holds.
 PHRASES = (
-    "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich; Jörg bäckt quasi zwei Haxenfüße vom Wildpony, heißölrückstoßabdämpfung; Fix, Schwyz! quäkt Jürgen blöd vom Paß; süße Nüsse, grüne Hügel, schöne Vögel, tiefe Höhle, völlig, Löffel, fördern, töpfern, König, zählen, Äxte, Öle, Übel",
+    "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich; Jörg bäckt quasi zwei Haxenfüße vom Wildpony, heißölrückstoßabdämpfung; Fix, Schwyz! quäkt Jürgen blöd vom Paß; süße Nüsse, grüne Hügel, schöne Vögel, Möwen möchten, tiefe Höhle, völlig, Löffel, fördern, töpfern, König, zählen, Äxte, Öle, Übel",
     "Voix ambiguë d'un cœur qui au zéphyr préfère les jattes de kiwis; dès Noël où un zéphyr haï me vêt de glaçons würmiens, je dîne d'exquis rôtis de bœuf à l'aÿ d'âge mûr",
     "El pingüino Wenceslao hizo kilómetros bajo exhaustiva lluvia y frío, añoraba a su querido cachorro; ¡jovencillo emponzoñado de whisky, qué figurota exhibís! ¿sabíais?",
     "Luís argüia à Júlia que brações, fé, chá, óxido, pôr, zângão eram palavras; à noite vovô Kowalsky vê o ímã cair no pé do pinguim e lança a sertã, põe maçãs, razões",
