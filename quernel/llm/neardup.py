@@ -9,6 +9,11 @@ Jaccard similarity. Representatives that agree in all registers of a band are ca
 their similarity is estimated jointly with both sizes by maximum likelihood from the number of
 greater, smaller and equal registers, and what is not clearly below the threshold is verified
 on the sets themselves.
+
+The members of a band's bucket meet in one task, sorted. A bucket with many members is cut into
+chunks, and each pair of chunks is a task of its own that compares registers before anything is
+given on: no task holds more than two chunks, and no pair leaves it that is clearly below the
+threshold.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.runtime import stored
+from quernel.functions.ngrams import sorted_distinct
+from quernel.runtime import parallelism, stored
 
 BASE = 1.001
 Q = (1 << 16) - 2
@@ -36,6 +42,11 @@ GIANT_ROWS = 1 << 22
 BROADCAST_GIANTS = 500_000
 #: Elements whose registers are computed at once.
 STEP = 1 << 15
+#: Members of a bucket up to which all its pairs are candidates, and members of a chunk of larger ones.
+BUCKET_ROWS = 64
+CHUNK_ROWS = 1024
+#: A bucket with this share of the keys of a block of rows is cut into chunks before it meets anywhere.
+HEAVY_SHARE = 1e-4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,7 +147,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, d1, d2, blobs = [], [], [], []
         for parts in batch.column("parts").to_pylist():
-            e = np.frombuffer(parts[0], "<i8") if len(parts) == 1 else np.unique(np.concatenate([np.frombuffer(p, "<i8") for p in parts]))
+            e = np.frombuffer(parts[0], "<i8") if len(parts) == 1 else sorted_distinct(np.concatenate([np.frombuffer(p, "<i8") for p in parts]))
             a, b = _digest(e)
             sizes.append(len(e))
             d1.append(a)
@@ -200,21 +211,181 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("record").to_numpy(), BANDS))], names=["key", "record"])
 
 
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the keys that are frequent within a block of rows."""
+
+    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.sort(np.concatenate(held))
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[head, len(key)])
+        some = (n > BUCKET_ROWS) & (n > HEAVY_SHARE * len(key))
+        return pa.RecordBatch.from_arrays([pa.array(key[head[some]]), pa.array(n[some])], names=["key", "n"])
+
+    held, n = [], 0
+    for b in _bands(batches):
+        held.append(b.column("key").to_numpy())
+        n += len(held[-1])
+        if n >= BUFFER_ROWS:
+            yield frequent(held)
+            held, n = [], 0
+    if held:
+        yield frequent(held)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, record), sorted, to (a, b, key, chunk): the pairs of small buckets, and the members of large ones.
+
+    A pair has no key; a member of a large bucket is ``a``, with the bucket's key and its chunk.
+    """
+
+    def pairs(key: np.ndarray, record: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.arange(len(key) - 1)
+        d = 1
+        while len(at := at[at + d < len(key)]) and len(at := at[key[at] == key[at + d]]):
+            yield record[at], record[at + d]
+            d += 1
+
+    def batch(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None, chunk: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x) if x is not None else none for x in (a, b, key, chunk)], names=["a", "b", "key", "chunk"])
+
+    key, record, large, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
+    for b in batches:
+        key, record = np.r_[key, b.column("key").to_numpy()], np.r_[record, b.column("record").to_numpy()]
+        if not len(key):
+            continue
+        if large is not None:  # the rest of a large bucket
+            n = int(np.searchsorted(key != large, True)) if (key != large).any() else len(key)
+            if n:
+                yield batch(record[:n], None, key[:n], (seen + np.arange(n)) // CHUNK_ROWS)
+            seen, key, record = seen + n, key[n:], record[n:]
+            if not len(key):
+                continue
+            large = None
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[head, len(key)])
+        big = np.flatnonzero(size > BUCKET_ROWS)
+        for k in big.tolist():
+            x, y = head[k], head[k] + size[k]
+            yield batch(record[x:y], None, key[x:y], np.arange(y - x) // CHUNK_ROWS)
+        last = len(head) - 1
+        if size[last] > BUCKET_ROWS:
+            large, seen, cut = int(key[-1]), int(size[last]), len(key)
+        else:
+            cut = int(head[last])
+        inside = np.repeat(size <= BUCKET_ROWS, size)[:cut]
+        for a, c in pairs(key[:cut][inside], record[:cut][inside]):
+            yield batch(np.minimum(a, c), np.maximum(a, c), None, None)
+        key, record = key[cut:], record[cut:]
+    for a, c in pairs(key, record):
+        yield batch(np.minimum(a, c), np.maximum(a, c), None, None)
+
+
+def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, M)
+
+
+def _likely(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(estimate, whether it is not clearly below the threshold) of pairs of registers."""
+    j = likelihood_jaccard(na, nb, (x > y).sum(1), (x < y).sum(1))
+    return j, j >= threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / M)
+
+
 def _estimate(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, M) for c in ("ra", "rb"))
-            na, nb = (b.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            j = likelihood_jaccard(na, nb, (x > y).sum(1), (x < y).sum(1))
-            error = np.sqrt(threshold * (1 - threshold) / M)
-            keep = pa.array(j >= threshold - SIGMAS * error)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(j)], names=["a", "b", "estimate"]).filter(keep)
+            if b.num_rows:
+                na, nb = (b.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+                j, keep = _likely(_registers(b.column("ra")), _registers(b.column("rb")), na, nb, threshold)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(j)], names=["a", "b", "estimate"]).filter(pa.array(keep))
 
     return run
 
 
+def _blocks(threshold: float):
+    """The likely pairs between two chunks of a bucket, or within one, by their registers."""
+    # registers agree at least as often as sets are similar
+    agree = (threshold - (SIGMAS + 1) * float(np.sqrt(threshold * (1 - threshold) / M))) * M
+
+    def run(t: pa.Table) -> pa.Table:
+        low, high, chunk = t.column("low")[0].as_py(), t.column("high")[0].as_py(), t.column("chunk").to_numpy()
+        order = np.argsort(t.column("record").to_numpy(), kind="stable")
+        record, size, chunk = t.column("record").to_numpy()[order], t.column("n_elements").to_numpy()[order].astype(float), chunk[order]
+        reg = _registers(t.column("registers"))[order]
+        right = np.flatnonzero(chunk == high)
+        a, b, est = [], [], []
+        for i in np.flatnonzero(chunk == low).tolist():
+            other = right[right > i] if low == high else right
+            other = other[np.minimum(size[other], size[i]) >= threshold * np.maximum(size[other], size[i])]
+            other = other[(reg[other] == reg[i]).sum(1) >= agree]
+            if len(other):
+                j, keep = _likely(np.broadcast_to(reg[i], (len(other), M)), reg[other], np.full(len(other), size[i]), size[other], threshold)
+                a.append(np.full(int(keep.sum()), record[i]))
+                b.append(record[other[keep]])
+                est.append(j[keep])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        # the estimate is symmetric, but for rounding
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "estimate": np.concatenate([np.zeros(0), *est])})
+
+    return run
+
+
+def likely_pairs(sketches: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs that share a band and whose estimated similarity is not clearly below the threshold.
+
+    ``sketches`` (record, registers), ``sizes`` (record, n_elements).
+    """
+    keys = sketches.mapInArrow(_bands, "key long, record long")
+    heavy = stored(sketches.mapInArrow(_heavy, "key long, n long").groupBy("key").agg(F.sum("n").alias("n_key")), "heavy")  # 1 / HEAVY_SHARE rows a block at most
+    n_heavy = heavy.count()
+    light = keys if not n_heavy else keys.join(F.broadcast(heavy) if n_heavy <= BROADCAST_GIANTS else heavy, "key", "left_anti")
+    n = parallelism(sketches.sparkSession)
+    met = stored(light.repartition(n, "key").sortWithinPartitions("key", "record").mapInArrow(_meet, "a long, b long, key long, chunk long"), "met")
+    sized = sketches.join(sizes, "record")
+    compared = (
+        met.where("b is not null").select("a", "b").distinct()
+        .join(sized.select(F.col("record").alias("a"), F.col("registers").alias("ra"), F.col("n_elements").alias("na")), "a")
+        .join(sized.select(F.col("record").alias("b"), F.col("registers").alias("rb"), F.col("n_elements").alias("nb")), "b")
+        .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+        .mapInArrow(_estimate(threshold), "a long, b long, estimate double")
+    )
+    large = met.where("b is null").select("key", F.col("a").alias("record"), "chunk")
+    if n_heavy:
+        cut = F.pmod(F.xxhash64("record"), F.ceil(F.col("n_key") / CHUNK_ROWS))
+        large = large.unionByName(keys.join(F.broadcast(heavy) if n_heavy <= BROADCAST_GIANTS else heavy, "key").select("key", "record", cut.alias("chunk")))
+    large = stored(large, "large")
+    if not large.isEmpty():
+        chunks = large.groupBy("key").agg((F.max("chunk") + 1).alias("n_chunks"))
+        copies = large.join(chunks, "key").join(sized, "record").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
+        blocks = copies.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "record", "n_elements", "registers")
+        within = blocks.groupBy("key", "low", "high").applyInArrow(_blocks(threshold), "a long, b long, estimate double")
+        compared = compared.unionByName(within)
+        return stored(compared, "likely").select("a", "b").distinct()
+    return stored(compared.select("a", "b"), "likely")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, group): for each node of the links (a, b), the smallest node that it is connected with.
+
+    Stars are enlarged and shrunk in turn until nothing changes; a round shuffles the links, and
+    their number falls. The rounds grow with the logarithm of the longest chain.
+    """
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        grown = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "grown")
+        least = grown.groupBy("u").agg(F.min("v").alias("m"))
+        hung = grown.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = stored(hung.where("u <> v").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38, 0)"))).first()
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("group"))).distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         shared = [len(np.intersect1d(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8"), assume_unique=True)) for x, y in zip(b.column("da").to_pylist(), b.column("db").to_pylist())]
@@ -252,10 +423,15 @@ class NearDuplicates:
         return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
 
     def groups(self) -> DataFrame:
-        """(record, class_id, n_copies, n_links): one row per record, as its class has them."""
+        """(record, class_id, n_copies, n_links, group_id): one row per record, as its class has them.
+
+        ``group_id`` is the smallest class of those that links connect, over any number of them.
+        """
         ends = self.links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
         copies = self.members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"))
-        return self.members.join(copies, "class_id").join(ends, "class_id", "left").select("record", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        group = components(self.links).select(F.col("node").alias("class_id"), F.col("group").alias("group_id"))
+        whole = self.members.join(copies, "class_id").join(ends, "class_id", "left").join(group, "class_id", "left")
+        return whole.select("record", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
 
 
 def near_duplicates(df: DataFrame, record: str, element: str, threshold: float = 0.8, least: int = 1) -> NearDuplicates:
@@ -277,17 +453,7 @@ def near_duplicates(df: DataFrame, record: str, element: str, threshold: float =
     if n_giants:
         parts = parts.groupBy("record").agg(F.collect_list("registers").alias("parts")).mapInArrow(_union, "record long, registers binary")
     sketches = stored(parts, "sketches")
-    keys = sketches.mapInArrow(_bands, "key long, record long")
-    left, right = keys.select("key", F.col("record").alias("a")), keys.select("key", F.col("record").alias("b"))
-    candidates = left.join(right, "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    sized = sketches.join(chosen, "record")
-    compared = (
-        candidates.join(sized.select(F.col("record").alias("a"), F.col("registers").alias("ra"), F.col("n_elements").alias("na")), "a")
-        .join(sized.select(F.col("record").alias("b"), F.col("registers").alias("rb"), F.col("n_elements").alias("nb")), "b")
-        .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-        .mapInArrow(_estimate(threshold), "a long, b long, estimate double")
-    )
-    likely = stored(compared, "likely")
+    likely = likely_pairs(sketches, chosen, threshold)
     small = sets.where("pieces = 1").select("record", "size", "data")
     checked = (
         likely.select("a", "b")
@@ -297,7 +463,7 @@ def near_duplicates(df: DataFrame, record: str, element: str, threshold: float =
     )
     if n_giants:
         big = sets.where("pieces > 1").select("record").distinct()
-        hard = likely.join(big.select(F.col("record").alias("a")), "a", "left_semi").unionByName(likely.join(big.select(F.col("record").alias("b")), "b", "left_semi").join(big.select(F.col("record").alias("a")), "a", "left_anti").select("a", "b", "estimate"))
+        hard = likely.join(big.select(F.col("record").alias("a")), "a", "left_semi").unionByName(likely.join(big.select(F.col("record").alias("b")), "b", "left_semi").join(big.select(F.col("record").alias("a")), "a", "left_anti").select("a", "b"))
         flat = sets.select("record", "data").mapInArrow(_explode, "record long, element long")
         ea = hard.select("a", "b").join(flat.select(F.col("record").alias("a"), "element"), "a")
         eb = hard.select("a", "b").join(flat.select(F.col("record").alias("b"), "element"), "b")

@@ -53,6 +53,8 @@ def test_pairs_against_brute_force(table, monkeypatch, giant):
     for k, r in members.items():
         same = [j for j in members if docs[j] == docs[k]]
         assert (r["class_id"], r["n_copies"]) == (min(same), len(same))
+        assert r["group_id"] == min(members[j]["class_id"] for j in members if members[j]["group_id"] == r["group_id"])
+    assert all(members[a]["group_id"] == members[b]["group_id"] for a, b in want)
     links = {tuple(r)[:2] for r in found.links.collect()}
     assert links == {p for p in want if docs[p[0]] != docs[p[1]] and p[0] == members[p[0]]["class_id"] and p[1] == members[p[1]]["class_id"]}
 
@@ -65,6 +67,54 @@ def test_blocks_of_rows(table, monkeypatch):
     assert {tuple(r) for r in found.pairs().collect()} == brute(docs, 0.8, 1)
 
 
+@pytest.mark.parametrize(("bucket", "heavy"), [(4, 1.0), (4, 1e-9), (0, 1e-9)])
+def test_large_buckets(table, monkeypatch, bucket, heavy):
+    """One cluster of near-equal records among others; buckets are cut into chunks, wherever they are noticed."""
+    monkeypatch.setattr(N, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(N, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(N, "HEAVY_SHARE", heavy)
+    rng = random.Random(7)
+    base = {rng.getrandbits(32) for _ in range(100)}
+    docs = {k: sets_like(rng, base, 1 + k % 12) for k in range(90)}
+    docs |= {100 + k: v for k, v in corpus(8).items() if len(v) >= 30}
+    found = N.near_duplicates(table(rows(docs, 8), "d long, h long", files=3), "d", "h", 0.7, 30)
+    assert {tuple(r) for r in found.pairs().collect()} == brute(docs, 0.7, 30)
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_buckets_that_cross_batches(monkeypatch, step):
+    monkeypatch.setattr(N, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(N, "CHUNK_ROWS", 4)
+    rng = random.Random(step)
+    size = [rng.choice([1, 1, 2, 3, 5, 6, 17]) for _ in range(40)]
+    key = np.repeat(np.arange(40), size)
+    record = np.arange(len(key)) * 3 + 1
+    t = N.pa.table({"key": key, "record": record})
+    out = N.pa.Table.from_batches(list(N._meet(iter(t.to_batches(max_chunksize=step)))))
+    pairs = [(r["a"], r["b"]) for r in out.to_pylist() if r["b"] is not None]
+    assert sorted(pairs) == sorted((int(a), int(b)) for k in range(40) if size[k] <= 5 for a, b in combinations(record[key == k], 2))
+    large = [(r["key"], r["a"], r["chunk"]) for r in out.to_pylist() if r["b"] is None]
+    assert sorted(large) == sorted((k, int(r), i // 4) for k in range(40) if size[k] > 5 for i, r in enumerate(record[key == k]))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(200)] + [(1000, 1000 + rng.randint(1, 300)) for _ in range(200)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(150)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    got = {r["node"]: r["group"] for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: find(k) for a, b in links if a != b for k in (a, b)}
+    assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_copies_of_one_set(table):
     docs = {k: set(range(40)) for k in range(300)}
     found = N.near_duplicates(table(rows(docs), "d long, h long", files=2), "d", "h", 0.7, 30)
