@@ -31,9 +31,9 @@ RANGE = 1 << 14
 MAX_RANGES = 1 << 18
 #: Rows that make one piece at most, on average over the salts of its range.
 PIECE_ROWS = 1_000_000
-#: A dictionary of up to so many terms is broadcast (75 MB at most for integers); beyond it the
-#: rows are joined with it by a shuffle, where adaptive execution splits the hot terms.
-BROADCAST_TERMS = 1_000_000
+#: Terms with more than one in so many of all rows are hot: there are fewer than this, they are
+#: broadcast, and their rows are not shuffled to be encoded. No other term can make a task long.
+HOT = 8192
 BUFFER_ROWS = 1 << 20
 
 
@@ -61,12 +61,17 @@ def build_dictionary(terms: DataFrame) -> DataFrame:
     return stored(ranked.join(F.broadcast(base), "bucket").select("term", (F.col("base") + F.col("rank") - 1).cast("long").alias("id"), "n_rows"), "dictionary")
 
 
-def encode(rows: DataFrame, column: str, dictionary: DataFrame, n_terms: int, to: str) -> DataFrame:
-    """``rows`` with ``column`` replaced by its id in the column ``to``; rows without one are dropped."""
-    words = dictionary.select(F.col("term").alias("dict_term"), F.col("id").alias(to))
-    if n_terms <= BROADCAST_TERMS:
-        words = F.broadcast(words)
-    return rows.join(words, rows[column] == F.col("dict_term")).drop(column, "dict_term")
+def encode(rows: DataFrame, column: str, dictionary: DataFrame, to: str) -> DataFrame:
+    """``rows`` with ``column`` replaced by its id in the column ``to``; rows without one are dropped.
+
+    Rows of hot terms get it from a broadcast of these, all others by a shuffle on the term.
+    """
+    n_rows = dictionary.agg(F.sum("n_rows")).first()[0] or 0
+    hot = dictionary.where(F.col("n_rows") * HOT > n_rows).select(F.col("term").alias("hot_term"), F.col("id").alias(to))
+    cold = dictionary.where(F.col("n_rows") * HOT <= n_rows).select(F.col("term").alias("dict_term"), F.col("id").alias(to))
+    met = rows.join(F.broadcast(hot), rows[column] == F.col("hot_term"), "left")  # fewer than HOT rows
+    rest = met.where(F.col(to).isNull()).drop("hot_term", to)
+    return met.where(F.col(to).isNotNull()).drop(column, "hot_term").unionByName(rest.join(cold, rest[column] == F.col("dict_term")).drop(column, "dict_term"))
 
 
 def _split(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
@@ -202,8 +207,8 @@ def term_frequencies(df: DataFrame, term: str, record: str, position: str | None
     else:
         named = build_dictionary(everything.select(F.col("record").alias("term")))
         n_records = named.count()
-        rows = encode(rows, "record", named, n_records, "record_id").withColumnRenamed("record_id", "record")
-    rows = encode(rows, "term", words, n_terms, "id")
+        rows = encode(rows, "record", named, "record_id").withColumnRenamed("record_id", "record")
+    rows = encode(rows, "term", words, "id")
     width = max(RANGE, -(-n_terms // MAX_RANGES))
     per_block = words.groupBy(F.floor(F.col("id") / width).alias("block")).agg(F.sum("n_rows").alias("n")).collect()  # MAX_RANGES rows at most
     salts = np.ones(max([0, *(b["block"] for b in per_block)]) + 1, np.int64)

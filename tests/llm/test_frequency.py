@@ -28,9 +28,11 @@ def test_against_brute_force(table, piece):
     assert counted(table(rows, "t long, d long, p int", files=4), "t", "d", "p", piece_rows=piece) == brute(rows)
 
 
-def test_many_ranges_and_shuffled_dictionary(table, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 5, 10**9])
+def test_many_ranges_and_hot_terms(table, monkeypatch, hot):
+    """No term is hot, one with a third of all rows is, or all are."""
     monkeypatch.setattr(Q, "RANGE", 8)
-    monkeypatch.setattr(Q, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(Q, "HOT", hot)
     monkeypatch.setattr(Q, "BUFFER_ROWS", 200)
     rows = data(2000, 1)
     assert counted(table(rows, "t long, d long, p int", files=3), "t", "d", "p", piece_rows=50) == brute(rows)
