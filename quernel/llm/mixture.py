@@ -132,6 +132,8 @@ def truncated_mean(rate: float, cap: int) -> float:
         return 0.0
     p, mean, below = math.exp(-rate), 0.0, 0.0
     for k in range(cap):
+        if k > rate and p < 1e-17:
+            return mean  # no more is left for greater counts
         mean += k * p
         below += p
         p *= rate / (k + 1)
@@ -155,17 +157,23 @@ def rate_for(mean: float, cap: int) -> float:
     return (low + high) / 2
 
 
-def thresholds(mean: float, cap: int) -> list[float]:
-    """P(copies <= k) for k < cap: a uniform number's rank among them is its number of copies."""
+def thresholds(mean: float, cap: int) -> tuple[int, list[float]]:
+    """(copies of every document, P(further copies <= k) for k up to the cap).
+
+    A uniform number's rank among the probabilities is its number of further copies; those that no
+    number below 1 exceeds are left out, so that the list is short whatever the cap.
+    """
     rate = rate_for(mean, cap)
     if math.isinf(rate):
-        return [0.0] * cap
+        return cap, []
     p, total, out = math.exp(-rate), 0.0, []
     for k in range(cap):
         total += p
-        out.append(min(1.0, total))
+        if total >= 1 or k > rate and p < 1e-17:
+            break
+        out.append(total)
         p *= rate / (k + 1)
-    return out
+    return 0, out
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -224,21 +232,18 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, tar
     first: dict = {}
     for r in want:
         first.setdefault(r["source"], r)
+    spark = df.sparkSession
     counted = stored(count_tokens(df, key, source, text, vocabulary), "tokens")
-    wanted = F.col("source").isin([s for s in first if s is not None]) if any(s is not None for s in first) else F.lit(False)
-    sizes = [(r["source"], r["n"]) for r in counted.where(wanted).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()]
+    named = F.broadcast(spark.createDataFrame([(s,) for s in first if s is not None], "source string"))  # max_sources rows at most
+    counted_wanted = counted.join(named, "source", "left_semi")
+    sizes = [(r["source"], r["n"]) for r in counted_wanted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()]
     size, rates = plan_rates(sizes, [(s, r["share"], r["cap"]) for s, r in first.items()], total)
-    copies = F.lit(0)
+    draw = spark.createDataFrame([(s, *thresholds(mean, c)) for s, (_, c, mean) in rates.items()], "draw_source string, always int, above array<double>")
     u = uniform(F.col("key"), seed)
-    for s, (_, c, mean) in rates.items():
-        n = F.lit(0)
-        for t in thresholds(mean, c):
-            n = n + F.when(u >= t, 1).otherwise(0)
-        copies = F.when(F.col("source") == s, n).otherwise(copies)
-    documents = counted.withColumn("copies", copies.cast("int"))
-    spark = df.sparkSession
+    copies = F.coalesce(F.col("always") + F.size(F.filter("above", lambda t: u >= t)), F.lit(0))
+    documents = counted.join(F.broadcast(draw), F.col("source") == F.col("draw_source"), "left").withColumn("copies", copies.cast("int")).drop("draw_source", "always", "above")
     plan = spark.createDataFrame([(s, float(r["share"] or 0), r["cap"], float(rates[s][2]) if s in rates else 0.0) for s, r in first.items()], "source string, target_share double, max_repeats int, mean_repeats double")
-    used = documents.where(wanted).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("copies") > 0).cast("long")).alias("n_used"), F.sum("copies").alias("n_draws"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
+    used = documents.join(named, "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("copies") > 0).cast("long")).alias("n_used"), F.sum("copies").alias("n_draws"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     everything = used.agg(F.sum("tokens").alias("all_tokens"))
     report = (
         plan.join(used, "source", "left")

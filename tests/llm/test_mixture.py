@@ -31,7 +31,10 @@ def test_rates():
     for cap in (1, 2, 4):
         for mean in (0.1, 0.5, 0.9, cap * 0.8):
             assert M.truncated_mean(M.rate_for(mean, cap), cap) == pytest.approx(mean, abs=1e-6)
-    assert M.rate_for(0, 3) == 0 and math.isinf(M.rate_for(3, 3)) and M.thresholds(3, 3) == [0.0] * 3
+    assert M.rate_for(0, 3) == 0 and math.isinf(M.rate_for(3, 3)) and M.thresholds(3, 3) == (3, [])
+    always, above = M.thresholds(0.5, 10**9)
+    assert always == 0 and len(above) < 40 and above == sorted(above) and sum(1 - t for t in above) == pytest.approx(0.5)
+    assert M.thresholds(2.5, 10**6)[1] and M.thresholds(0, 3) == (0, [])
 
 
 def test_plan():
@@ -62,6 +65,14 @@ def test_shares(table):
     assert order == sorted(order)
 
 
+def test_thousands_of_sources(table):
+    names = [f"s{k}" for k in range(3000)]
+    df = table([(k, names[k % 3000], "some words of text") for k in range(9000)], "id long, src string, body string")
+    goal = table([(s, 1 / 3000, 2) for s in names], "s string, share double, cap int")
+    m = M.mix(df, "id", "src", "body", goal, "s", "share", "cap")
+    assert m.report.count() == 3000 and m.draws().where("copy > 2").count() == 0 and m.draws().count() == 18_000
+
+
 def test_wanted_size(table):
     df = table(docs(3000), "id long, src string, body string, source string")
     goal = table([("a", 0.5, 2), ("b", 0.5, 3)], "s string, share double, cap int")
