@@ -159,6 +159,23 @@ def tokenise(distinct: bool, longest: int = MAX_LENGTH):
     return run
 
 
+def count_ngrams(longest: int = MAX_LENGTH):
+    """Arrow operator from (doc_id, content) to (doc_id, n_entries); nothing is hashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in _slices(b.column("content").to_pylist()):
+                size = np.fromiter(map(len, texts), np.int64, len(texts))
+                stop = np.cumsum(size)
+                owner = np.repeat(np.arange(len(texts)), size)
+                n = np.where((size == 2) & (longest >= 2), 1, 0)
+                for _, starts in sparse_spans(np.frombuffer(b"".join(texts), np.uint8), stop[owner], longest):
+                    n = n + np.bincount(owner[starts], minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(texts)), pa.array(n, pa.int64())], names=["doc_id", "n_entries"])
+
+    return run
+
+
 def planes(a: np.ndarray) -> bytes:
     """The bytes of 32-bit numbers, the lowest of all first: small numbers make runs of zeros."""
     return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.ngrams import tokenise, tokenise_packed, unpack_lists
+from quernel.functions.ngrams import count_ngrams, tokenise, tokenise_packed, unpack_lists
 from quernel.operators import postings as P
 from quernel.operators.incremental import Versions
 from quernel.runtime import estimated_bytes, parallelism, spread, stored
@@ -37,6 +37,12 @@ def index_entries(corpus: DataFrame, config: IndexConfig = IndexConfig(), distin
     return spread(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "content")).mapInArrow(tokenise(distinct, config.max_ngram_length), schema)
 
 
+def entry_counts(corpus: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
+    """(doc_id, n_entries): how many n-grams each document has, every occurrence counted."""
+    rows = spread(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "content"))
+    return rows.mapInArrow(count_ngrams(config.max_ngram_length), "doc_id long, n_entries long")
+
+
 @dataclass
 class Index:
     """``postings`` (ngram_hash, chunk, n_docs, doc_ids), ``docs`` (doc_id, root, path), ``terms`` (ngram_hash, df).

@@ -24,7 +24,7 @@ from quernel.runtime import stable_scan, stored
 BUFFER_ROWS = 1 << 20
 #: No key is cut into more chunks than this, so that merging the chunks of one key stays small.
 MAX_CHUNKS = 4096
-MIN_CHUNK_ROWS = 1 << 17
+MIN_CHUNK_ROWS = 1 << 13
 #: Offsets of hot keys are sent to the rows by broadcast up to this many entries (about 16 MB);
 #: beyond it they are joined by a shuffle on (partition, key), which is even by construction.
 BROADCAST_OFFSETS = 400_000
@@ -150,7 +150,7 @@ def fold_by_key(df: DataFrame, key: str, value: str, measure: str | None = None,
     runs of equal consecutive values, null being equal to null), ``first_value, last_value,
     min_measure, max_measure, sum_measure, n_chunks, total_rows``.
 
-    ``chunk_rows`` is the size of a chunk; by default a 4096th of all rows, 131072 at least, so
+    ``chunk_rows`` is the size of a chunk; by default a 4096th of all rows, 8192 at least, so
     that no key has more than 4096 chunks. The input must have stable partitions; a plan that is
     no plain file scan is first written to the shared folder.
 

@@ -110,7 +110,7 @@ SQL = {
         with o as (select ngram_hash, doc_id, row_number() over () as rn from ngram_entry),
         r as (select ngram_hash, doc_id, rn, lag(rn) over w is null or doc_id is distinct from lag(doc_id) over w as is_new from o window w as (partition by ngram_hash order by rn))
         select ngram_hash, sum(is_new::bigint)::bigint n_runs, arg_min_null(doc_id, rn) first_doc_id, arg_max_null(doc_id, rn) last_doc_id,
-               ceil(count(*) / greatest(131072, ceil((select count(*) from ngram_entry) / 4096)))::bigint n_chunks
+               ceil(count(*) / greatest(8192, ceil((select count(*) from ngram_entry) / 4096)))::bigint n_chunks
         from r group by 1""",
     "p4_found": _NEW + "select change_id from c left join r using (root_id) where r.started_at is null or c.recorded_at is null or c.recorded_at > r.started_at",
     "p4_after_failure": _NEW + "select change_id, case when recorded_at <= (select max(started_at) from r) then 1 else 2 end::bigint as version from c",

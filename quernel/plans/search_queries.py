@@ -12,7 +12,7 @@ from quernel.functions import codec
 from quernel.functions.trigrams import byte_hash, may_follow, may_precede, trigram_entries, trigram_hash, trigram_masks, trigrams
 from quernel.functions.weights import RANKS
 from quernel.operators import overlay, postings
-from quernel.operators.index import build, compact, index_entries, open_index
+from quernel.operators.index import build, compact, entry_counts, index_entries, open_index
 from quernel.operators.search import Searcher, formatted, ordered
 from quernel.runtime import numbered, scratch_path, stored, table
 from quernel.sources import corpus as C
@@ -292,6 +292,11 @@ def ngram_positions(spark: SparkSession, sf: str) -> DataFrame:
     return entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("pos").alias("sum_pos"))
 
 
+def index_entry_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of each document, every occurrence counted; documents without any have 0."""
+    return entry_counts(documents(spark, sf))
+
+
 def ngram_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Index entries per document."""
     entries = index_entries(documents(spark, sf))
@@ -429,7 +434,7 @@ QUERIES |= {
     for f in (
         indexed_files_ignore_case, indexed_counts, indexed_file_filter, search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_windows, trigram_document_windows, trigram_loc_mask, trigram_next_mask, trigram_next_char, trigram_hashes, trigram_adjacency, trigram_postings,
         posting_df, posting_intersect, posting_union, posting_subtract, posting_intersect_many, posting_union_many, posting_delta_encode, posting_delta_decode,
-        ngram_sparse, ngram_positions, ngram_documents, index_stats, index_stats_documents, index_lookup, index_commit, scan_roots, overlay_detect, overlay_search, overlay_refresh, overlay_segments, overlay_compact, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
+        ngram_sparse, ngram_positions, index_entry_counts, ngram_documents, index_stats, index_stats_documents, index_lookup, index_commit, scan_roots, overlay_detect, overlay_search, overlay_refresh, overlay_segments, overlay_compact, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
     )
 }
 
@@ -518,6 +523,7 @@ SQL |= {
     "ngram_sparse": _ngram_sql("select item_id, count(*) as n_entries, sum(i)::bigint as sum_pos from q group by 1"),
     "index_stats": _ngram_sql("select (select count(distinct item_id) from eval_item) as file_count, count(distinct gram) as ngram_count, count(distinct (gram, item_id)) as posting_count from q"),
     "ngram_positions": _document_ngram_sql("select item_id as doc_id, count(*) as n_entries, sum(i)::bigint as sum_pos from q group by 1"),
+    "index_entry_counts": _document_ngram_sql("select d.doc_id, count(q.item_id) as n_entries from documents d left join q on d.doc_id = q.item_id group by 1"),
     "ngram_documents": _document_ngram_sql(_HASHED + " select doc_id, count(*) as n_hashes, min(hash) as least, max(hash) as greatest from z group by 1"),
     "index_stats_documents": _document_ngram_sql(_HASHED + " select (select count(distinct doc_id) from documents) as file_count, count(distinct hash) as ngram_count, count(*) as posting_count from z"),
     "stream_index": _document_ngram_sql(_HASHED + " select doc_id, count(*) as n_hashes from z group by 1"),

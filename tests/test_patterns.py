@@ -42,7 +42,7 @@ def test_algebra():
     assert bound(Query(Op.OR, frozenset(df)), df, 100) == sum(df.values())
 
 
-@pytest.mark.parametrize("bad", ["(?=a)", "(?<!a)", r"\1", "(a", "a)", "[z-a]", "*a", "a{3,1}", "a{2000}", "[a", "(?q)a", r"\q", r"\x{110000}", "(?P<a>x)(?P<a>y)", "{2}"])
+@pytest.mark.parametrize("bad", ["(?=a)", "(?<!a)", r"\1", "(a", "a)", "[z-a]", "*a", "a{3,1}", "a{200000}", "[a", "(?q)a", r"\q", r"\x{110000}", "(?P<a>x)(?P<a>y)", "{2}"])
 def test_rejected(bad):
     with pytest.raises(PatternError):
         parse(bad)
@@ -89,3 +89,12 @@ def test_every_match_is_a_candidate(pattern, text, ignore_case):
     grams = {zlib.crc32(g) for _, g in sparse_ngrams(fold(text.encode()))}
     if any(compiled.search(line) for line in text.split("\n")):
         assert holds(plan(pattern, ignore_case), grams)
+
+
+def test_limits_of_counts_and_nesting(spark):
+    java = spark._jvm.java.util.regex.Pattern
+    assert java.compile(to_java("a{2000}")).matcher("a" * 2000).find() and not java.compile(to_java("a{2000}")).matcher("a" * 1999).find()
+    assert java.compile(to_java("(" * 190 + "a" + ")" * 190)).matcher("a").find()
+    for pattern in ("a{100001}", "(" * 300 + "a" + ")" * 300):
+        with pytest.raises(PatternError):
+            to_java(pattern)
