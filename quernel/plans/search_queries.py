@@ -276,6 +276,16 @@ def posting_delta_decode(spark: SparkSession, sf: str) -> DataFrame:
     return codec.delta_decode(d).select("ngram_hash", "doc_id")
 
 
+def posting_varint(spark: SparkSession, sf: str) -> DataFrame:
+    """Each hash's documents in the byte form: how many bytes they take, and what is decoded from them."""
+    packed = stored(postings.pack(_entries(spark, sf)), "packed")
+    coded = stored(codec.encode_lists(packed), "coded")
+    size = coded.groupBy("ngram_hash").agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum(F.length("data")).alias("n_bytes"))
+    head = sum((F.when(F.col("n_docs") >= (1 << 7 * k), 1).otherwise(0) for k in range(1, 5)), F.lit(1))
+    back = codec.decode_lists(coded).select("ngram_hash", F.explode("doc_ids").alias("doc_id")).groupBy("ngram_hash").agg(F.sum("doc_id").alias("sum_ids"), F.max("doc_id").alias("last_id"))
+    return size.join(back, "ngram_hash").select("ngram_hash", "n_docs", (F.col("n_bytes") + head).alias("n_bytes"), "sum_ids", "last_id")
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return C.from_table(table(spark, sf, "eval_item"), "item_id", F.col("suite"), "text")
 
@@ -433,7 +443,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         indexed_files_ignore_case, indexed_counts, indexed_file_filter, search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_windows, trigram_document_windows, trigram_loc_mask, trigram_next_mask, trigram_next_char, trigram_hashes, trigram_adjacency, trigram_postings,
-        posting_df, posting_intersect, posting_union, posting_subtract, posting_intersect_many, posting_union_many, posting_delta_encode, posting_delta_decode,
+        posting_df, posting_intersect, posting_union, posting_subtract, posting_intersect_many, posting_union_many, posting_delta_encode, posting_delta_decode, posting_varint,
         ngram_sparse, ngram_positions, index_entry_counts, ngram_documents, index_stats, index_stats_documents, index_lookup, index_commit, scan_roots, overlay_detect, overlay_search, overlay_refresh, overlay_segments, overlay_compact, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
     )
 }
@@ -453,6 +463,13 @@ def _crc_of(gram: str) -> str:
 
 
 _NEXT = f"{_GRAMS}, q as (select g.doc_id, g.trigram, case when g.i + 4 <= b.n then substr(b.h, 2 * g.i + 7, 2) end as follows from g join b on g.doc_id = b.doc_id), f as (select follows, (1 << ({_crc_of('follows')} & 7)::integer) as bit from (select distinct follows from q where follows is not null), crc), m as (select doc_id, trigram, coalesce(bit_or(bit::integer), 0) as next from q left join f on q.follows = f.follows group by 1, 2)"
+
+
+def _bytes(value: str) -> str:
+    """How many bytes of seven bits a number takes."""
+    return "1" + "".join(f" + ({value} >= {1 << 7 * k})::bigint" for k in range(1, 10))
+
+
 _POSTING = "e as (select distinct ngram_hash, doc_id from ngram_entry where ngram_hash is not null and doc_id is not null)"
 
 
@@ -520,6 +537,7 @@ SQL |= {
     "posting_union_many": f"with {_POSTING} select distinct doc_id from e where ngram_hash in ({_A}, {_B}, {_C})",
     "posting_delta_encode": f"with {_POSTING} select ngram_hash, doc_id, doc_id - lag(doc_id, 1, 0) over (partition by ngram_hash order by doc_id) as delta from e",
     "posting_delta_decode": f"with {_POSTING} select ngram_hash, doc_id from e",
+    "posting_varint": f"with {_POSTING}, d as (select ngram_hash, doc_id, doc_id - lag(doc_id, 1, 0) over (partition by ngram_hash order by doc_id) as delta from e) select ngram_hash, count(*) as n_docs, (sum({_bytes('delta')}) + {_bytes('count(*)')})::bigint as n_bytes, sum(doc_id)::bigint as sum_ids, max(doc_id) as last_id from d group by 1",
     "ngram_sparse": _ngram_sql("select item_id, count(*) as n_entries, sum(i)::bigint as sum_pos from q group by 1"),
     "index_stats": _ngram_sql("select (select count(distinct item_id) from eval_item) as file_count, count(distinct gram) as ngram_count, count(distinct (gram, item_id)) as posting_count from q"),
     "ngram_positions": _document_ngram_sql("select item_id as doc_id, count(*) as n_entries, sum(i)::bigint as sum_pos from q group by 1"),

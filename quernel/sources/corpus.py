@@ -84,6 +84,8 @@ def listing(spark: SparkSession, roots: Iterable[str], config: IndexConfig = Ind
     parts: list[tuple[int, str, bytes, bool]] = []
     for n, root in enumerate(roots):
         t = walk.tree(root, user)
+        if not t.exists():
+            raise FileNotFoundError(f"no file or folder {root}")
         parts += [(n, root, b"", False)] if t.is_file() else [(n, root, at, deep) for at, deep in walk.subtrees(t)]
     work = spark.createDataFrame(parts, "n int, root string, at binary, deep boolean").repartition(min(len(parts), 8 * parallelism(spark)))
     found = work.mapInArrow(walk.lister(config.max_file_size, BINARY_WINDOW if config.skip_binary else 0, user), "n int, root string, path string, location binary, size long")

@@ -38,6 +38,9 @@ class Local:
         self.base, self.user = local_path(root), user
         folder.cache_clear()  # a worker lives longer than what it read
 
+    def exists(self) -> bool:
+        return os.path.exists(self.base)
+
     def is_file(self) -> bool:
         return os.path.isfile(self.base)
 
@@ -92,6 +95,9 @@ class Remote:
     def _at(self, path: str) -> str:
         return f"{self.base}/{path}" if path else self.base
 
+    def exists(self) -> bool:
+        return self.fs.get_file_info(self.base).type != pafs.FileType.NotFound
+
     def is_file(self) -> bool:
         return self.fs.get_file_info(self.base).is_file
 

@@ -43,3 +43,17 @@ def test_fresh(spark, project, capsys):
     (project / "src" / "a.rs").unlink()
     assert run(capsys, "search", "--fresh", "foo", project) == (0, ["new.txt:foo new", "src.txt:changed foo"])
     assert run(capsys, "search", "--fresh", "-c", "foo", project) == (0, ["new.txt:1", "src.txt:1"])
+
+
+def test_several_paths_and_options(spark, project, tmp_path, capsys):
+    other, out = tmp_path / "other", tmp_path / "out"
+    other.mkdir()
+    (other / "_x.txt").write_text("foo in other\n")
+    (other / "large.txt").write_text("foo " * 100)
+    assert main(["index", str(project / "src"), str(other), str(project / "b.py"), "-o", str(out), "--max-file-size", "100"]) == 0
+    assert "3 files" in capsys.readouterr().err
+    assert run(capsys, "search", "foo|bar", project, "--index-dir", out) == (0, ["b.py:def bar():", "_x.txt:foo in other", "a.rs:    // TODO: foo"])
+    assert run(capsys, "search", "-l", "large", project, "--index-dir", out) == (1, [])
+    (other / "_x.txt").unlink()  # a file that is gone is passed over
+    assert run(capsys, "search", "foo", project, "--index-dir", out) == (0, ["a.rs:    // TODO: foo"])
+    assert main(["index", str(tmp_path / "none"), "-o", str(out)]) == 2

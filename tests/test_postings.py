@@ -49,3 +49,25 @@ def test_delta_columns(spark):
     assert sorted(map(tuple, d.collect())) == [(1, 7, 7), (1, 18, 11), (1, 19, 1), (2, 5, 5)]
     back = codec.delta_decode(d.withColumnRenamed("doc_id", "rank"))
     assert sorted((r["ngram_hash"], r["doc_id"]) for r in back.collect()) == [(1, 7), (1, 18), (1, 19), (2, 5)]
+
+
+@given(st.lists(st.integers(0, 2**62), max_size=30))
+def test_many_codes_at_once(values):
+    import numpy as np
+
+    data = codec.varints(np.array(values, np.int64))
+    assert codec.from_varints(data).tolist() == values
+    assert codec.from_varints(data[:-1]).tolist() == values[:-1]
+    small = [v % (1 << 32) for v in values]
+    assert codec.varints(np.array(small, np.int64)) == b"".join(map(codec.encode_varint, small))
+
+
+def test_coded_lists(spark):
+    ids = {1: [3, 5, 70_000, 200_000], 2: [0], 3: list(range(0, 140_000, 7))}
+    rows = spark.createDataFrame([(k, d) for k, v in ids.items() for d in v], "ngram_hash long, doc_id long")
+    coded = codec.encode_lists(postings.pack(rows))
+    got = {k: [r["data"] for r in coded.where(f"ngram_hash = {k}").orderBy("chunk").collect()] for k in ids}
+    for k, v in ids.items():
+        assert codec.encode_varint(len(v)) + b"".join(map(bytes, got[k])) == codec.encode_postings(v)
+    back = postings.unpack(codec.decode_lists(coded))
+    assert sorted(map(tuple, back.collect())) == sorted((k, d) for k, v in ids.items() for d in v)
