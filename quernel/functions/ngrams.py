@@ -176,13 +176,16 @@ def count_ngrams(longest: int = MAX_LENGTH):
     return run
 
 
-def planes(a: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers, the lowest of all first: small numbers make runs of zeros."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def pack_numbers(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers of one length, compressed byte plane by byte plane: small numbers make runs of zeros."""
+    planes = np.concatenate([np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel() for a in columns])
+    return len(columns[0]).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
-def from_planes(data: bytes, n: int, at: int = 0) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+def unpack_numbers(data: bytes, n_columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 4 * n * n_columns, asbytes=True), np.uint8).reshape(n_columns, 4, n)
+    return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
 
 
 def tokenise_packed(bits: int, longest: int = MAX_LENGTH):
@@ -190,8 +193,7 @@ def tokenise_packed(bits: int, longest: int = MAX_LENGTH):
     texts, packed by the first ``bits`` bits of the hash and by span of document ids.
 
     A slice makes a few hundred rows instead of a million, which spares the shuffle its work per row.
-    The pairs of a row are sorted by hash and packed as differences of hashes and as ids within the
-    span, byte plane by byte plane, of which the shuffle's compression leaves little.
+    The pairs of a row are sorted by hash and packed as differences of hashes and as ids within the span.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def tokenise_packed(bits: int, longest: int = MAX_LENGTH):
                 step[head] = code[head]
                 offset = doc & ((1 << SPAN_BITS) - 1)
                 edges = [*head.tolist(), len(code)]
-                data = [planes(step[x:y]) + planes(offset[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+                data = [pack_numbers(step[x:y], offset[x:y]) for x, y in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(span[head]), pa.array(data, pa.binary())], names=["bucket", "span", "data"])
 
     return run
@@ -221,9 +223,8 @@ def unpack_lists(chunk_bits: int):
     """Arrow operator from rows (bucket, span, data), sorted by (bucket, span), to posting lists."""
 
     def lists(span: int, parts: list[bytes]) -> pa.RecordBatch:
-        n = [len(p) // 8 for p in parts]
-        code = np.concatenate([np.cumsum(from_planes(p, k), dtype=np.uint32) for p, k in zip(parts, n)])
-        offset = np.concatenate([from_planes(p, k, 4 * k) for p, k in zip(parts, n)])
+        steps, offsets = zip(*(unpack_numbers(p, 2) for p in parts))
+        code, offset = np.concatenate([np.cumsum(s, dtype=np.uint32) for s in steps]), np.concatenate(offsets)
         key = sorted_distinct(code.astype(np.uint64) << np.uint64(32) | offset)
         code, doc = (key >> np.uint64(32)).astype(np.uint32), (span << SPAN_BITS) + (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         chunk = doc >> chunk_bits

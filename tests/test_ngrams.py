@@ -90,3 +90,11 @@ def test_table_of_hashes_agrees_with_the_kernel(spark, data):
     both = given_rows.join(files.select("doc_id"), "doc_id", "left_semi")
     assert both.count() > 1000
     assert both.join(entries, ["ngram_hash", "doc_id", "pos"], "left_anti").count() <= 0.01 * both.count()
+
+
+def test_packed_numbers():
+    from quernel.functions.ngrams import pack_numbers, unpack_numbers
+
+    for a, b in (([], []), ([0], [2**32 - 1]), (list(range(0, 70_000, 3)), [7] * len(range(0, 70_000, 3)))):
+        got = unpack_numbers(pack_numbers(np.array(a, np.uint32), np.array(b, np.int64)), 2)
+        assert [x.tolist() for x in got] == [a, b]
