@@ -193,7 +193,8 @@ def tokenise_packed(bits: int, longest: int = MAX_LENGTH):
     texts, packed by the first ``bits`` bits of the hash and by span of document ids.
 
     A slice makes a few hundred rows instead of a million, which spares the shuffle its work per row.
-    The pairs of a row are sorted by hash and packed as differences of hashes and as ids within the span.
+    The pairs of a row are sorted by hash and packed as differences of hashes and as places in a table
+    of the slice's ids, which the row begins with.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +202,25 @@ def tokenise_packed(bits: int, longest: int = MAX_LENGTH):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in _slices(b.column("content").to_pylist()):
                 text, _, code = _entries(texts, longest)
-                # by hash, then by text: sorted, so that equal pairs are neighbours
-                key = sorted_distinct(code.astype(np.uint64) << np.uint64(32) | text.astype(np.uint64))
-                code, doc = (key >> np.uint64(32)).astype(np.uint32), ids[first + (key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-                bucket, span = (code >> np.uint32(32 - bits)).astype(np.int64), doc >> SPAN_BITS
-                if len(span) and span.min() != span.max():
+                known, rank = np.unique(ids[first : first + len(texts)], return_inverse=True)
+                # by hash, then by document: sorted, so that equal pairs are neighbours
+                key = sorted_distinct(code.astype(np.uint64) << np.uint64(32) | rank[text].astype(np.uint64))
+                code, doc = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                spans = known >> SPAN_BITS
+                bucket, span = (code >> np.uint32(32 - bits)).astype(np.int64), spans[doc]
+                if len(spans) and spans[0] != spans[-1]:
                     order = np.lexsort((span, bucket))  # keeps the order by hash within
                     code, doc, bucket, span = code[order], doc[order], bucket[order], span[order]
                 head = np.flatnonzero(np.r_[len(code) > 0, (bucket[1:] != bucket[:-1]) | (span[1:] != span[:-1])])
                 step = np.diff(code, prepend=np.uint32(0))
                 step[head] = code[head]
-                offset = doc & ((1 << SPAN_BITS) - 1)
-                edges = [*head.tolist(), len(code)]
-                data = [pack_numbers(step[x:y], offset[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+                edges, data, tables = [*head.tolist(), len(code)], [], {}
+                for x, y in zip(edges[:-1], edges[1:]):
+                    at = int(span[x])
+                    low, high = np.searchsorted(spans, [at, at + 1]).tolist()
+                    if at not in tables:
+                        tables[at] = pack_numbers(np.diff(known[low:high] - (at << SPAN_BITS), prepend=0))
+                    data.append(len(tables[at]).to_bytes(4, "little") + tables[at] + pack_numbers(step[x:y], doc[x:y] - low))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(span[head]), pa.array(data, pa.binary())], names=["bucket", "span", "data"])
 
     return run
@@ -223,8 +230,13 @@ def unpack_lists(chunk_bits: int):
     """Arrow operator from rows (bucket, span, data), sorted by (bucket, span), to posting lists."""
 
     def lists(span: int, parts: list[bytes]) -> pa.RecordBatch:
-        steps, offsets = zip(*(unpack_numbers(p, 2) for p in parts))
-        code, offset = np.concatenate([np.cumsum(s, dtype=np.uint32) for s in steps]), np.concatenate(offsets)
+        codes, offsets = [], []
+        for p in parts:
+            n = 4 + int.from_bytes(p[:4], "little")
+            step, place = unpack_numbers(p[n:], 2)
+            codes.append(np.cumsum(step, dtype=np.uint32))
+            offsets.append(np.cumsum(unpack_numbers(p[4:n], 1)[0], dtype=np.uint32)[place])
+        code, offset = np.concatenate(codes), np.concatenate(offsets)
         key = sorted_distinct(code.astype(np.uint64) << np.uint64(32) | offset)
         code, doc = (key >> np.uint64(32)).astype(np.uint32), (span << SPAN_BITS) + (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         chunk = doc >> chunk_bits

@@ -118,3 +118,14 @@ def test_trigrams(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(may_precede(F.lit(4), F.lit(10)), may_precede(F.lit(4), F.lit(3))).first()[:] == (True, False)
+
+
+def test_postings_of_any_ids(spark):
+    from quernel.operators import postings
+    from quernel.operators.index import index_postings
+
+    ids = [5, 2**22 - 1, 2**22, 2**40 + 3, -7, 4, 2**23, 5]
+    rows = [(k, "", "p", bytearray(f"text of number {k} and what all hold".encode())) for k in ids] + [(9, "", "p", None)]
+    df = spark.createDataFrame(rows, "doc_id long, root string, path string, content binary").coalesce(1)
+    want = sorted({tuple(r) for r in index_entries(df).collect()})
+    assert sorted(map(tuple, postings.unpack(index_postings(df)).collect())) == want and len(want) > 100
