@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import subprocess
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ from quernel.operators.index import build, compact, entry_counts, index_entries,
 from quernel.operators.search import Searcher, formatted, ordered
 from quernel.runtime import numbered, scratch_path, stored, table
 from quernel.sources import corpus as C
+from quernel.sources.git import changes_since, head_commit
 from quernel.streaming.delta_index import index_stream, indexed_entries
 
 #: Path of a document: its source, language and id.
@@ -337,15 +341,49 @@ def index_commit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(open_index(spark, path).commit,)], "commit_sha string")
 
 
-def scan_roots(spark: SparkSession, sf: str) -> DataFrame:
-    """A scan of several roots: the test items as files, a folder for each suite."""
-    path = scratch_path(spark, "roots").removeprefix("file:")
+def _files_of_items(spark: SparkSession, sf: str, name: str) -> tuple[str, dict[str, int]]:
+    """A local folder with a file for each test item, and each file's item."""
+    path, out = scratch_path(spark, name).removeprefix("file:"), {}
+    path = "/" + path.lstrip("/")
+    atexit.register(shutil.rmtree, path, True)
     items = table(spark, sf, "eval_item").where("item_id is not null").select("suite", "item_id", "text").distinct().collect()  # a fixed table of a few hundred rows
     for r in items:
-        folder = os.path.join(path, r["suite"] or "none", "_of" if r["item_id"] % 2 else "of")
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, f"{r['item_id']:08d}.txt"), "w", encoding="utf-8", newline="") as f:
+        file = os.path.join(r["suite"] or "none", "_of" if r["item_id"] % 2 else "of", f"{r['item_id']:08d}.txt")
+        os.makedirs(os.path.dirname(os.path.join(path, file)), exist_ok=True)
+        with open(os.path.join(path, file), "w", encoding="utf-8", newline="") as f:
             f.write(r["text"] or "")
+        out[file] = r["item_id"]
+    return path, out
+
+
+def overlay_git(spark: SparkSession, sf: str) -> DataFrame:
+    """What git says has changed since a commit: files changed and committed, changed, removed, renamed and added since."""
+    path, files = _files_of_items(spark, sf, "repository")
+    git = lambda *a: subprocess.run(["git", "-C", path, "-c", "user.name=a", "-c", "user.email=a@b", "-c", "commit.gpgsign=false", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    base = head_commit(path)
+    for when in (2, 4):  # the second half of the changes is not committed
+        for name, k in sorted(files.items()):
+            at = os.path.join(path, name)
+            if k % 10 in (when, when + 1):
+                with open(at, "a", encoding="utf-8") as f:
+                    f.write("changed")
+            elif k % 10 == when + 4:
+                os.remove(at)
+            elif k % 10 == when + 5:
+                with open(at + ".new", "w", encoding="utf-8") as f:
+                    f.write("new")
+        if when == 2:
+            git("add", "-A")
+            git("commit", "-qm", "second")
+    return changes_since(spark, path, base)
+
+
+def scan_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan of several roots: the test items as files, a folder for each suite."""
+    path, _ = _files_of_items(spark, sf, "roots")
     found = C.from_directories(spark, sorted(e.path for e in os.scandir(path)))
     return found.select("doc_id", F.element_at(F.split("root", "/"), -1).alias("suite"), "path", F.length("content").cast("long").alias("size"))
 
@@ -444,7 +482,7 @@ QUERIES |= {
     for f in (
         indexed_files_ignore_case, indexed_counts, indexed_file_filter, search_full_scan, search_exists, search_sorted, search_formatted, candidates_missed, trigram_counts, trigram_windows, trigram_document_windows, trigram_loc_mask, trigram_next_mask, trigram_next_char, trigram_hashes, trigram_adjacency, trigram_postings,
         posting_df, posting_intersect, posting_union, posting_subtract, posting_intersect_many, posting_union_many, posting_delta_encode, posting_delta_decode, posting_varint,
-        ngram_sparse, ngram_positions, index_entry_counts, ngram_documents, index_stats, index_stats_documents, index_lookup, index_commit, scan_roots, overlay_detect, overlay_search, overlay_refresh, overlay_segments, overlay_compact, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
+        ngram_sparse, ngram_positions, index_entry_counts, ngram_documents, index_stats, index_stats_documents, index_lookup, index_commit, scan_roots, overlay_git, overlay_detect, overlay_search, overlay_refresh, overlay_segments, overlay_compact, filter_binary, filter_size, filter_hidden, corpus_todo_lines, stream_index,
     )
 }
 
@@ -553,6 +591,10 @@ SQL |= {
     "overlay_compact": f"with {_AFTER} select path from z where contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')",
     "index_commit": "select trim(commit_sha) as commit_sha from index_meta where trim(coalesce(commit_sha, '')) <> '' and finished_at is not null order by started_at desc, root_id, run_id limit 1",
     "scan_roots": "select row_number() over (order by suite, item_id % 2 = 0, item_id) - 1 as doc_id, suite, case when item_id % 2 = 1 then '_of/' else 'of/' end || lpad(item_id::varchar, 8, '0') || '.txt' as path, octet_length(encode(text))::bigint as size from (select distinct coalesce(suite, 'none') as suite, item_id, coalesce(text, '') as text from eval_item where item_id is not null)",
+    "overlay_git": """
+        with f as (select distinct item_id % 10 as k, coalesce(suite, 'none') || case when item_id % 2 = 1 then '/_of/' else '/of/' end || lpad(item_id::varchar, 8, '0') || '.txt' as path from eval_item where item_id is not null)
+        select path, 'modified' as status from f where k in (2, 3, 4, 5) union all select path, 'deleted' from f where k in (6, 8)
+        union all select path || '.new', case when k = 7 then 'modified' else 'new' end from f where k in (7, 9)""",
     "filter_binary": "select distinct doc_id, path from corpus_file where content is null or not regexp_matches(substr(hex(content), 1, 32768), '^(..)*00')",
     "filter_size": "select distinct doc_id, size_bytes from corpus_file where size_bytes is null or size_bytes <= 2500",
     "filter_hidden": "select distinct doc_id, path from corpus_file where not regexp_matches(path, '(^|/)\\.[^/]')",
