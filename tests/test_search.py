@@ -129,3 +129,69 @@ def test_postings_of_any_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, root string, path string, content binary").coalesce(1)
     want = sorted({tuple(r) for r in index_entries(df).collect()})
     assert sorted(map(tuple, postings.unpack(index_postings(df)).collect())) == want and len(want) > 100
+
+
+@pytest.mark.parametrize(("local", "listed", "broadcast"), [(0, 5, 10), (0, 5, 0), (10**6, 0, 10), (10**6, 5, 10)])
+@pytest.mark.parametrize("pattern", ["foo", "foo|end", "größe|Straße", "TODO.*foo", "nothing here"])
+def test_every_way_to_the_candidates(corpus, searcher, monkeypatch, local, listed, broadcast, pattern):
+    from quernel.operators import search
+
+    monkeypatch.setattr(search, "LOCAL_POSTINGS", local)
+    monkeypatch.setattr(search, "LISTED_IDS", listed)
+    monkeypatch.setattr(search, "BROADCAST_IDS", broadcast)
+    assert got(Searcher(corpus, searcher.index).lines(pattern, use_index=True)) == brute(pattern)
+
+
+def test_id_ranges(spark):
+    import numpy as np
+
+    from quernel.operators.search import id_ranges
+
+    ids = np.array([-9, -8, 1, 2, 3, 50, 1000, 1001, 2**40])
+    every = spark.createDataFrame([(int(k),) for k in range(-20, 1100)] + [(2**40,), (2**40 + 1,)], "doc_id long")
+    for most, want in ((1, None), (2, None), (5, set(ids.tolist())), (32, set(ids.tolist()))):
+        found = {r[0] for r in every.where(id_ranges(ids, most)).collect()}
+        assert found >= set(ids.tolist()) and (want is None or found == want)
+    assert id_ranges(np.array([7])) == "doc_id between 7L and 7L"
+
+
+def test_refresh_of_a_stored_index(spark, corpus, tmp_path):
+    from quernel.operators.index import append, compact
+
+    path = str(tmp_path / "ix")
+    before = corpus.where("doc_id in (1, 2, 6)")
+    build(before).save(path, commit="one", texts=before)
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "ix").rglob("*.parquet"))
+    first = {f for f in (tmp_path / "ix").rglob("*.parquet")}
+    after = spark.createDataFrame([(11, "", "a/b.rs", bytearray(b"foo two\n")), (2, "", "a.txt", bytearray(TEXTS[2][1])), (12, "", "new", bytearray(b"new foo\n"))], corpus.schema)
+    assert overlay.refresh_stored(spark, path, after, overlay.detect_changes(before, after), commit="two") == 2
+    later = spark.createDataFrame([(2, "", "a.txt", bytearray(TEXTS[2][1])), (12, "", "new", bytearray(b"new foo\n")), (13, "", "third", bytearray(b"foo third\n"))], corpus.schema)
+    assert overlay.refresh_stored(spark, path, later, overlay.detect_changes(after, later)) == 3
+    assert first <= set((tmp_path / "ix").rglob("*.parquet")) and size() > 0  # nothing old is written again
+    index = open_index(spark, path)
+    s = Searcher(index.texts, index)
+    assert index.commit == "two" and sorted(r["doc_id"] for r in index.docs.collect()) == [2, 12, 13] == sorted(r["doc_id"] for r in index.texts.collect())
+    assert sorted(r["line"] for r in s.lines("foo", use_index=True).collect()) == ["TODO: foobar", "foo third", "new foo"]
+    assert sorted(r[0] for r in s.candidates("foo", use_index=True).collect()) == [2, 12, 13]
+    whole = build(later)
+    assert index.stats().first() == whole.stats().first() == compact(index).stats().first()
+    index.save(str(tmp_path / "whole"))
+    again = open_index(spark, str(tmp_path / "whole"))
+    assert again.stale is None and again.texts is None and again.stats().first() == whole.stats().first()
+    with pytest.raises(ValueError):
+        append(spark, path, whole, before.select("doc_id"))  # its texts are missing
+    with pytest.raises(ValueError):
+        append(spark, path, build(later, C.IndexConfig(max_ngram_length=8)), before.select("doc_id"), texts=later)
+    with pytest.raises(FileNotFoundError):
+        append(spark, str(tmp_path / "none"), whole, before.select("doc_id"))
+
+
+def test_the_scan_reads_no_more_than_candidates(spark, tmp_path):
+    rows = [(k, "", f"p{k}", bytearray((f"common words {'special phrase' if k % 1000 == 7 else ''} {k}\n" * 20).encode())) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, root string, path string, content binary")
+    build(docs).save(str(tmp_path / "ix"), texts=docs)
+    index = open_index(spark, str(tmp_path / "ix"))
+    hits = Searcher(index.texts, index).files("special phrase")
+    assert sorted(r["doc_id"] for r in hits.collect()) == [7, 1007, 2007, 3007]
+    plan = hits._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "PushedFilters: [" in plan and "And(GreaterThanOrEqual(doc_id" in plan
